@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lookalike
+from tessella.llm import lookalike, residue
 from tessella.session import stage, table
 
 LOOKALIKE_TEXTS = (("segment", "seg_id", "han", False), ("src_para", "para_id", "text", False), ("juan_file", "file_id", "body_xml", True))
@@ -24,5 +24,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-QUERIES = {"p3_found": p3_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are template residue, filler, error pages or script notices."""
+    return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

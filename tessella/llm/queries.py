@@ -7,9 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lookalike, residue
+from tessella.llm import lookalike, residue, sentences
 from tessella.session import stage, table
 
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence unit of every paragraph in src_para and ref_para."""
+    src = table(spark, sf_dir, "src_para").select(F.col("para_id").alias("row"), F.col("file").alias("doc"), "text", "heading")
+    ref = table(spark, sf_dir, "ref_para").select(F.col("para_id").alias("row"), F.col("juan_id").alias("doc"), "text", F.lit(None).cast("string").alias("heading"))
+    return sentences.sentences(src, ref).select(F.col("row").alias("para_id"), "sent_start", "sent_end")
+
+
 LOOKALIKE_TEXTS = (("segment", "seg_id", "han", False), ("src_para", "para_id", "text", False), ("juan_file", "file_id", "body_xml", True))
 
 
@@ -29,5 +38,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

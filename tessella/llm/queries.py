@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lookalike, residue, sentences
+from tessella.llm import lookalike, names, residue, sentences
 from tessella.session import stage, table
 
 
@@ -33,10 +33,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of authorship records of one person or organisation whose names differ in any character."""
+    held = table(spark, sf_dir, "work").select(F.explode("authorship").alias("a")).select("a.*")
+    records = held.select(F.col("record_id").alias("record"), F.col("person_name").alias("name"), F.col("time_dynasty").alias("era_text"), F.col("author_dates").alias("dates"), F.col("date_not_before").alias("first"), F.col("date_not_after").alias("last"), F.col("cbdb_id").alias("id"))
+    hits = table(spark, sf_dir, "cbdb_hit").select(F.col("cbdb_id").alias("id"), "primary_name", "matched_string", F.col("dynasty").alias("era_text"))
+    authority = hits.select("id", F.explode(F.array("primary_name", "matched_string")).alias("name"), "era_text").distinct()
+    linked = names.variants(records, authority)
+    spelt = linked.select(F.col("record").cast("long").alias("row"), F.col("component").alias("form")).join(records.select(F.col("record").alias("row"), F.col("name").alias("raw")).distinct(), "row")
+    return lookalike.pairs(spelt).select(F.col("row_a").alias("record_a"), F.col("row_b").alias("record_b"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue, filler, error pages or script notices."""
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

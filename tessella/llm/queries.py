@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import lookalike, names, residue, sentences
+from tessella.llm import entities, lookalike, names, residue, sentences
 from tessella.session import stage, table
 
 
@@ -19,6 +19,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(src, ref).select(F.col("row").alias("para_id"), "sent_start", "sent_end")
 
 
+def p2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a work and an item that are one work, with the confidence of each."""
+    return entities.matched(table(spark, sf_dir, "work"), table(spark, sf_dir, "work_hit"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a work and an item that are one work."""
+    return p2_scored(spark, sf_dir).select("kr_id", "qid")
+
+
 LOOKALIKE_TEXTS = (("segment", "seg_id", "han", False), ("src_para", "para_id", "text", False), ("juan_file", "file_id", "body_xml", True))
 
 
@@ -49,5 +59,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import entities, lookalike, names, residue, sentences
+from tessella.llm import entities, lookalike, mixing, names, packing, residue, sentences, tokens
 from tessella.session import stage, table
 
 
@@ -54,10 +54,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.pairs(spelt).select(F.col("row_a").alias("record_a"), F.col("row_b").alias("record_b"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents and fill of the containers of every capacity of pack_spec, holding all documents."""
+    sized = stage(tokens.sizes(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select(F.col("doc_id").alias("key"), "tokens"), "p6-tokens")
+    specs = table(spark, sf_dir, "pack_spec").where("capacity_tokens > 0").distinct().collect()  # one row per kind of container
+    made = [packing.packed(sized, r["capacity_tokens"]).select(F.lit(r["spec_id"]).alias("spec_id"), "container", F.col("key").alias("doc_id"), "part", "tok_start", "tok_end", "fill") for r in sorted(specs, key=lambda r: r["spec_id"])]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = tokens.sizes(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return stage(sized.select(F.col("doc_id").alias("key"), "source", "tokens", "digest"), "p7-tokens")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the largest mix at which every source gives its target share, and how often each is used."""
+    mix, _ = mixing.mixed(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+    return mix.select(F.col("key").alias("doc_id"), "source", "uses", "tokens")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares really reached, for the largest mix that meets all targets and for one of as many tokens as all documents have."""
+    sized, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    every = sized.agg(F.sum("tokens")).first()[0] or 0
+    met, asked = mixing.mixed(sized, targets)[1], mixing.mixed(sized, targets, total=every)[1]
+    return met.withColumn("mix", F.lit("all targets met")).unionByName(asked.withColumn("mix", F.lit("all tokens asked for")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are template residue, filler, error pages or script notices."""
     return residue.residue(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p4_found": p4_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_scored": p2_scored, "p3_found": p3_found, "p4_found": p4_found, "p6_packed": p6_packed, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -24,6 +24,16 @@ OPENERS = "「『“‘（(【《〈"
 
 
 def _mapped(kind: str, fn: Callable, *cols: Column) -> Column:
+    """fn over columns by Arrow batches; null where the first column is null."""
+    if len(cols) == 1:
+
+        @F.pandas_udf(kind)
+        def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series([None if v is None else fn(v) for v in s], dtype=object)
+
+        return one(*cols)
+
     @F.pandas_udf(kind)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for ss in batches:

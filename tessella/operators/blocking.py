@@ -39,6 +39,6 @@ def diagonal_window(needles: DataFrame, hay: DataFrame, nid: str, ntext: str, hi
     b = pos(hay.where(F.length(htext) >= k), hid, htext, "_p")
     rare = b.groupBy(hid, "g").agg(F.count("*").alias("_n"), F.collect_list("_p").alias("_ps")).where(F.col("_n") <= most_places)
     hits = a.join(rare, "g").select(nid, hid, F.explode(F.transform("_ps", lambda p: F.floor((p - F.col("_i")) / bin_width))).alias("bin"))
-    count = hits.groupBy(nid, hid, "bin").agg(F.count("*").alias("n"))
-    spread = count.select(nid, hid, "n", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).groupBy(nid, hid, "bin").agg(F.sum("n").alias("votes"))
+    count = hits.groupBy(nid, hid, "bin").agg(F.count("*").alias("_c"))
+    spread = count.select(nid, hid, "_c", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")).groupBy(nid, hid, "bin").agg(F.sum("_c").alias("votes"))
     return spread.groupBy(nid, hid).agg(F.max_by("bin", F.struct("votes", -F.col("bin"))).alias("bin"), F.max("votes").alias("votes")).where(F.col("votes") >= votes)

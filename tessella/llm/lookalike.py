@@ -146,11 +146,12 @@ class Rewriter:
         for k, v in table.items():
             self.auto.add_word(k, (len(k), v))
         self.any = bool(table)
+        self.ascii_stays = not any(k.isascii() for k in table)
         if self.any:
             self.auto.make_automaton()
 
     def __call__(self, text: str) -> str:
-        if text.isascii() or not self.any:
+        if not self.any or (self.ascii_stays and text.isascii()):
             return text
         text = unicodedata.normalize("NFD", text)
         out, last = [], 0

@@ -43,9 +43,10 @@ _GAP_SET = frozenset(_FORMAT + "¶")
 HAN = re.compile("[㐀-䶿一-鿿豈-﫿⼀-⿟〇\U00020000-\U000323af]")
 _CJK = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿⼀-⿟ｦ-ﾝ\U00020000-\U000323af]")
 _EVENT = re.compile("[" + re.escape(STRONG + STOPS + "".join(PAIRS) + "".join(PAIRS.values()) + '"') + "།༎༑॥।" + "]")
-_DANDA = re.compile(f"[।॥](?:[{_GAP}]*[0-9०-९]+[{_GAP}]*[।॥]|(?<=॥)[{_GAP}]*[०-९]+(?![\\w]))?")
+_DIGIT = "0-9०-९²³¹⁰⁴-⁹０-９"
+_DANDA = re.compile(f"[।॥](?:[{_GAP}]*[{_DIGIT}](?:[{re.escape(_FORMAT)}]*[{_DIGIT}])*[{_GAP}]*[।॥]|(?<=॥)[{_GAP}]*[०-९]+(?![\\w]))?")
 _TOKEN_BEFORE = re.compile(r"[^\s\"“„«»(（\[「『/—–]+$")
-_WORD = re.compile(r"[^\W\d_](?:[\w'’\-" + re.escape(_FORMAT) + r"]*[\w])?(?:\.[^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_](?:[\w'’\-\u0300-\u036f" + re.escape(_FORMAT) + r"]*[\w\u0300-\u036f])?(?:\.[^\W\d_]+)*")
 _PUNCTUATED = re.compile("[" + re.escape("。，、；：！？「」『』（）…．｡､·,.;:!?()“”\"‘’《》〈〉") + "]")
 
 _fold = Rewriter(rewrite_table({chr(c): 1 << 20 for c in range(0x20, 0x7F)}))

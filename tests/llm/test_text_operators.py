@@ -27,6 +27,8 @@ def cut(text, **known):
         ("कालः । लेखः ॥ ७४ ॥ पाठः", ["कालः ।", "लेखः ॥ ७४ ॥", "पाठः"]),
         ("ནོར་དང་། གེ་འོ།། ༈ ཆུ་ནོ།།", ["ནོར་དང་། གེ་འོ།།", "༈ ཆུ་ནོ།།"]),
         ("교정자는 “빠졌다. 보라.”라고 적었다. 끝이다.", ["교정자는 “빠졌다. 보라.”라고 적었다.", "끝이다."]),
+        ("कालः ॥ ²७ ॥ पाठः ।", ["कालः ॥ ²७ ॥", "पाठः ।"]),
+        ("Am 9. Ma\u0308rz kam er. Etwa.", ["Am 9. Ma\u0308rz kam er.", "Etwa."]),
         ("", []),
         ("  \n ", []),
         ("甲「乙。丙", ["甲「乙。", "丙"]),
@@ -98,8 +100,8 @@ def test_lookalike_pairs(spark):
     assert lookalike.pairs(lookalike.classes(df.limit(0), "row", "t", rules)).count() == 0
 
 
-RESIDUE = ["Dear {{name}}, welcome.", "書名：【請輸入書名】", "a ${x_y} b", "404 Not Found\n\nThe requested URL /a was not found on this server.", "Please enable JavaScript to view this page.\n© the editors", "Lorem ipsum dolor sit amet, consectetur elit sed do", "test test test test test test", "首頁　目錄　檢索\n本網站需要啟用 JavaScript 才能正常閱讀。"]
-REAL = ["The manual explains that `{{title}}` is replaced.", "The set {1, 2, 3} and ${} are marks.", "{{*|甲乙}}[[丙|丁]]故丙見丁。", "原闕五字，待補。甲乙丙丁戊己庚辛。", "In 404 the itinerary breaks off; page 404 is not found in our copy.", "", "  ", "".join(chr(0x4E00 + (i * i * 31 + i) % 5000) for i in range(4000))]
+RESIDUE = ["Dear <work_title>, x", "a [[juan_no]] b", "$edition.label$ c", "甲[INSERT title HERE]乙", "502 Bad Gateway\nnginx", "Dear {{name}}, welcome.", "書名：【請輸入書名】", "a ${x_y} b", "404 Not Found\n\nThe requested URL /a was not found on this server.", "Please enable JavaScript to view this page.\n© the editors", "Lorem ipsum dolor sit amet, consectetur elit sed do", "test test test test test test", "首頁　目錄　檢索\n本網站需要啟用 JavaScript 才能正常閱讀。"]
+REAL = ["a <lb>b</lb><title>t</title> <br> c costs $5 or $6", "甲[[乙|丙]]丁[[戊]]", "The manual explains that `{{title}}` is replaced.", "The set {1, 2, 3} and ${} are marks.", "{{*|甲乙}}[[丙|丁]]故丙見丁。", "原闕五字，待補。甲乙丙丁戊己庚辛。", "In 404 the itinerary breaks off; page 404 is not found in our copy.", "", "  ", "".join(chr(0x4E00 + (i * i * 31 + i) % 5000) for i in range(4000))]
 
 
 def test_residue(spark):

@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices.
 
 Bodies (texts without page furniture, with numbers and ids masked) get a SimHash;
-partitioned tables find bodies within a few bits, Hamming distance and the
-similarity of five-word shingles verify them, and trusted labels spread through
-the connected components. A last exact check keeps a slot label from reaching a
+partitioned tables find bodies within a few bits, a prefix-filtered join on
+five-word shingles every other pair of the wanted similarity, the similarity of
+the shingles verifies them, and trusted labels spread through the connected
+components. A last exact check keeps a slot label from reaching a
 text in which the slot was filled in.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,6 +29,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)  # of the 64 bits
 MAX_HAMMING = 3  # so three of the six blocks agree, whichever bits differ
+RARITY_BITS = 21  # of a shingle's hash, for the table of how often shingles are used
+RARITY_SAMPLE = 8  # one text of so many is counted for it
+COMMON = 8  # rare shingles that a pair of the similarity has in common, or all it has in common
 
 # Shapes of slots in template languages. A name is an identifier or a short Han label.
 _NAME = r"[^\W\d_][\w.\- ]{0,40}?"
@@ -246,9 +251,9 @@ def shingles(body: str) -> np.ndarray:
     return np.unique(_shingle_hashes([body])[0])
 
 
-def simhashes(bodies: list[str], block: int = 200_000) -> list[int | None]:
-    """64-bit SimHash of each body over its shingles, as signed numbers; None for a body without a word."""
-    hashes, owner = _shingle_hashes(bodies)
+def simhashes(bodies: list[str], block: int = 200_000, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> list[int | None]:
+    """64-bit SimHash of each body over its shingles, as signed numbers; None for a body without a word. hashed: the shingles, if known."""
+    hashes, owner = _shingle_hashes(bodies) if hashed is None else hashed
     out: list[int | None] = [None] * len(bodies)
     if not len(hashes):
         return out
@@ -267,27 +272,59 @@ def simhashes(bodies: list[str], block: int = 200_000) -> list[int | None]:
     return out
 
 
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many shingles of a sample of (t) have each value of the lowest RARITY_BITS bits of their hash; counted in the tasks, only the table reaches the driver."""
+    size, parts = 1 << RARITY_BITS, 64
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(size, dtype=np.int64)
+        for f in frames:
+            hashes = _shingle_hashes([body_of(x, find_slots(x)) for x in f["t"]])[0].view(np.int64)
+            n += np.bincount(hashes & (size - 1), minlength=size)
+        yield pd.DataFrame({"part": range(parts), "n": [x.tobytes() for x in np.split(n, parts)]})
+
+    def summed(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": f["part"].iloc[:1], "n": [np.sum([np.frombuffer(x, dtype=np.int64) for x in f["n"]], axis=0).tobytes()]})
+
+    sample = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(RARITY_SAMPLE)) == 0)
+    rows = sample.mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(summed, "part int, n binary").collect()
+    found = {r["part"]: np.frombuffer(r["n"], dtype=np.int64) for r in rows}
+    return np.concatenate([found.get(i, np.zeros(size // parts, dtype=np.int64)) for i in range(parts)])
+
+
+def prefix(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, COMMON of which any set of SIMILARITY has among its own."""
+    order = np.lexsort((shingles, used[shingles & (len(used) - 1)]))
+    return shingles[order[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + COMMON]]
+
+
 def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, body, sim, label) per distinct key and text with a body: body is its digest, sim its SimHash.
+    """(doc, body, sim, label, n, heads) per distinct key and text with a body: body is its digest, sim its SimHash, n the number of its shingles, heads the rarest of them.
 
     Null texts give no row. A text of nothing but furniture, or an empty one, has no body and gives no row.
     """
 
-    @F.pandas_udf("struct<body:binary,sim:long,label:string>")
+    t = df.select(df[key].alias("doc"), df[text].alias("t")).where("t is not null")
+    used = df.sparkSession.sparkContext.broadcast(_rarity(t))
+
+    @F.pandas_udf("struct<body:binary,sim:long,label:string,n:int,heads:array<long>>")
     def prepare(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             slots = [find_slots(x) for x in s]
             bodies = [body_of(x, y) for x, y in zip(s, slots, strict=True)]
-            sims = simhashes(bodies)
+            hashed = _shingle_hashes(bodies)
+            sims = simhashes(bodies, hashed=hashed)
+            sets = [np.unique(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
             yield pd.DataFrame(
                 {
                     "body": [None if h is None else hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x, h in zip(bodies, sims, strict=True)],
                     "sim": pd.array(sims, dtype="Int64"),
                     "label": [trusted_label(x, bool(y)) for x, y in zip(bodies, slots, strict=True)],
+                    "n": [len(x) for x in sets],
+                    "heads": [prefix(x, used.value) for x in sets],
                 }
             )
 
-    t = df.select(df[key].alias("doc"), df[text].alias("t")).where("t is not null")
     return t.select("doc", prepare("t").alias("p")).select("doc", "p.*").where("body is not null")
 
 
@@ -316,6 +353,24 @@ def candidates(bodies: DataFrame, salt_rows: int = 2000) -> DataFrame:
     return a.join(b, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= MAX_HAMMING)).select("a", "b").distinct()
 
 
+def shingle_candidates(bodies: DataFrame, salt_rows: int = 2000) -> DataFrame:
+    """Pairs (a, b), a < b, among which are all of SIMILARITY or more, by a prefix-filtered join on shingles.
+
+    bodies: (rep, n, heads). Shingles are ordered by how often their part of the hash
+    is used in a sample, then by hash; any order finds every pair, a rarest-first one
+    few others. A shingle of more than salt_rows prefixes is joined in blocks of that size.
+    """
+    heads = bodies.select("rep", "n", F.posexplode("heads").alias("at", "shingle")).select("rep", "n", (F.col("n") - F.col("at")).alias("left"), "shingle")
+    sizes = heads.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle", F.ceil(F.col("m") / salt_rows).cast("int").alias("salts"))
+    full = stage(heads.join(sizes, "shingle"), "residue-heads")
+    a = full.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
+    b = full.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    sizes_fit = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-6
+    met = a.join(b, ["shingle", "salt"]).where((F.col("a") < F.col("b")) & sizes_fit).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max(F.least("la", "lb")).alias("left"))
+    enough = F.col("left") * (1 + SIMILARITY) >= SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6  # shingles of both from the first common one on
+    return met.where(enough & (F.col("common") >= F.least(F.lit(COMMON), F.ceil(SIMILARITY * F.greatest("na", "nb") - 1e-6)))).select("a", "b")
+
+
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs whose bodies share SIMILARITY or more of their five-word shingles."""
 
@@ -341,8 +396,9 @@ def residue(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     prep = stage(prepared(df, key, text), "residue-prepared")
     rank = F.when(F.col("label") == "message", 3).when(F.col("label") == "filler", 2).when(F.col("label") == "slot", 1).otherwise(0)
-    bodies = stage(prep.groupBy("body").agg(F.min("doc").alias("rep"), F.min("sim").alias("sim"), F.max(rank).alias("rank")), "residue-bodies")
-    edges = stage(verified(stage(candidates(bodies.select("rep", "sim")), "residue-pairs"), df, key, text), "residue-edges")
+    bodies = stage(prep.groupBy("body").agg(F.min("doc").alias("rep"), F.min("sim").alias("sim"), F.max(rank).alias("rank"), F.first("n").alias("n"), F.first("heads").alias("heads")), "residue-bodies")
+    near = stage(candidates(bodies.select("rep", "sim")).unionByName(shingle_candidates(bodies)).distinct(), "residue-pairs")
+    edges = stage(verified(near, df, key, text), "residue-edges")
     linked = connected_components(edges, "a", "b")
     with_component = bodies.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = with_component.groupBy("component").agg(F.max("rank").alias("top")).where("top > 0")

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,33 @@ def test_verified_pairs_match_brute_force(spark):
     want = {(x, y) for x, y in itertools.combinations(texts, 2) if len(sh(texts[x]) & sh(texts[y])) / len(sh(texts[x]) | sh(texts[y])) >= 0.8}
     assert got == want == {(1, 2)}
     assert isinstance(df.select(F.lit(1)).toPandas(), pd.DataFrame)
+
+
+def test_residue_links_all_pairs_of_the_similarity(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(60):
+        words = ["w" + chr(97 + rng.randrange(26)) + chr(97 + rng.randrange(26)) + chr(97 + i % 26) for _ in range(rng.randint(3, 90))]
+        other = list(words)
+        for _ in range(rng.randint(0, 3)):
+            other[rng.randrange(len(other))] = "other"
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(["begin"] * (i % 3) + other)
+    sets = {k: residue.shingles(v) for k, v in texts.items()}
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if alike(sets[a], sets[b]) >= residue.SIMILARITY}
+    sims = dict(zip(texts, residue.simhashes(list(texts.values())), strict=True))
+    far = {(a, b) for a, b in want if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() > residue.MAX_HAMMING}
+    assert len(far) > 5
+    used = np.bincount(np.concatenate([v.view(np.int64) & 1023 for v in sets.values()]), minlength=1024)
+    df = spark.createDataFrame([(k, len(v), residue.prefix(v.view(np.int64), used).tolist()) for k, v in sets.items()], "rep long, n int, heads array<long>")
+    for salt_rows in (2, 2000):
+        assert want <= {tuple(r) for r in residue.shingle_candidates(df, salt_rows).collect()}
+
+
+def test_label_reaches_a_variant_many_bits_away(spark):
+    notice = "please enable javascript to view this page of the library catalogue and its many reading rooms and old maps today"
+    pages = [f"{w} {notice}" for w in ("attn", "xx", "reader", "dear guest", "to all", "web", "client", "library")]
+    sims = residue.simhashes([notice, *pages])
+    assert max(((s ^ sims[0]) & (2**64 - 1)).bit_count() for s in sims) > residue.MAX_HAMMING
+    df = spark.createDataFrame(list(enumerate([notice, *pages])), "doc_id long, text string")
+    assert {r.doc for r in residue.residue(df, "doc_id", "text").collect()} == set(range(9))

@@ -156,19 +156,15 @@ def body_of(text: str, slots: list[tuple[int, int]]) -> str:
                 t = t.replace(wide, plain)
     if "<" in t:
         t = _TAG.sub(" ", t)
-    if len(t) > 1200 and not slots:  # the masks below touch little of a long text; its lines are kept as they are
-        lines = [x.strip() for x in t.split("\n")]
-    else:
-        lines = [_MASK.sub("#", _HOST.sub("host", x)).strip() for x in t.split("\n")]
+    lines = [_MASK.sub("#", _HOST.sub("host", x)).strip() for x in t.split("\n")]
     kept = [x for x in lines if x and not FURNITURE.match(x)]
     body = re.sub(r"\s+", " ", " ".join(kept))
-    if len(body) <= 1200:
-        before = None
-        while before != body:
-            before = body
-            body = _LEAD.sub("", body)
-            if body[-1:] in ("#", ")", "]", "】") or "apache" in body[-80:] or "nginx" in body[-80:]:
-                body = (body[:-120] + _TRAIL.sub("", body[-120:])).strip()
+    before = None
+    while before != body:
+        before = body
+        body = _LEAD.sub("", body)
+        if body[-1:] in ("#", ")", "]", "】") or "apache" in body[-80:] or "nginx" in body[-80:]:
+            body = (body[:-120] + _TRAIL.sub("", body[-120:])).strip()
     return body
 
 
@@ -182,7 +178,7 @@ def trusted_label(body: str, slots: bool) -> str | None:
         return "message"
     if _PERIODIC.match(body):
         return "filler"
-    words = _WORD.findall(body if len(body) < 4000 else body[:2000] + " " + body[-2000:])
+    words = _WORD.findall(body)
     if len(words) >= 6 and sum(w in LOREM for w in words) >= 0.9 * len(words) and len(LOREM.intersection(words)) >= 4:
         return "filler"
     return None

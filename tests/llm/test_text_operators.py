@@ -192,3 +192,14 @@ def test_label_reaches_a_variant_many_bits_away(spark):
     assert max(((s ^ sims[0]) & (2**64 - 1)).bit_count() for s in sims) > residue.MAX_HAMMING
     df = spark.createDataFrame(list(enumerate([notice, *pages])), "doc_id long, text string")
     assert {r.doc for r in residue.residue(df, "doc_id", "text").collect()} == set(range(9))
+
+
+def test_long_texts_are_read_like_short_ones():
+    menu = "Home | News | Maps | Contact\n"
+    for n in (3, 300):
+        assert residue.trusted_label(residue.body_of(menu * n + "502 Bad Gateway\n" + menu * n, []), False) == "message"
+    filler = " ".join(sorted(residue.LOREM)) + ". "
+    real = "".join(f"the {a} of the {b} was copied late. " for a in ("hymn", "tune", "map", "page") for b in "abcdefghijklmnopqrstuvwxyz")
+    assert residue.trusted_label(residue.body_of(filler * 6 + real + filler * 6, []), False) is None
+    edge = "a note on the old hymn and its tune. " * 3
+    assert residue.trusted_label(residue.body_of(edge + filler * 90 + edge, []), False) == "filler"

@@ -122,6 +122,15 @@ def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return t.join(i, "k").select("kr_id", "qid", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
+@query()
+def title_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
+    """Bigram similarity of all works and items that share a bigram, wherever it stands in the titles."""
+    t, i = works(spark, d).where(F.length("title") >= 2), items(spark, d).where(F.length("wikidata_title") >= 2)
+    shared = blocking.shared_grams(t, i, "kr_id", "title", "qid", "wikidata_title", k=2)
+    nt, ni = t.select("kr_id", F.size(T.grams(F.col("title"), 2)).alias("nt")), i.select("qid", F.size(T.grams(F.col("wikidata_title"), 2)).alias("ni"))
+    return shared.join(nt, "kr_id").join(ni, "qid").select("kr_id", "qid", F.round(F.col("shared") / (F.col("nt") + F.col("ni") - F.col("shared")), 6).alias("similarity"))
+
+
 # scalars
 
 

@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tessella.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 CORE = [m for m in entry._modules() if not m.__name__.startswith("tessella.llm")]
@@ -45,3 +46,13 @@ def test_against_sql(spark, duck, name):
 
 def test_entry_is_a_query():
     assert callable(entry.entry) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_title_jaccard_has_no_prefix_key(spark):
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    sides = [{r[0]: grams(r[1]) for r in read(spark, DATA).collect() if r[1] and len(r[1]) >= 2} for read in (lambda s, d: catalogue.works(s, d).select("kr_id", "title"), lambda s, d: catalogue.items(s, d).select("qid", "wikidata_title"))]
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sides[0].items() for b, y in sides[1].items() if x & y}
+    got = {(r.kr_id, r.qid): r.similarity for r in QUERIES["title_jaccard_all"](spark, DATA).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    assert len(got) > QUERIES["title_jaccard"](spark, DATA).count()

@@ -189,6 +189,13 @@ def person_cores(spark: SparkSession, d: str) -> DataFrame:
     return a.select("record_id", T.label_in(F.col("time_dynasty"), ERAS).alias("era"), T.person_core(F.col("person_name")).alias("core"))
 
 
+@query()
+def person_cores_all(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all authorship records without what people add to them, and dynasties under one label."""
+    a = authorships(spark, d).where(F.col("person_name").isNotNull())
+    return a.select("record_id", T.label_in(F.col("time_dynasty"), ERAS).alias("era"), T.person_core(F.col("person_name")).alias("core"))
+
+
 # arrays and structs
 
 

@@ -56,3 +56,13 @@ def test_title_jaccard_has_no_prefix_key(spark):
     got = {(r.kr_id, r.qid): r.similarity for r in QUERIES["title_jaccard_all"](spark, DATA).collect()}
     assert got == pytest.approx(want, abs=2e-6)
     assert len(got) > QUERIES["title_jaccard"](spark, DATA).count()
+
+
+def test_person_cores_keep_names_with_spaces_at_brackets(spark, tmp_path):
+    names = ["（清） 王安石", "王安石 （撰）", "王安石 等", "王安石 ", "王安石", None]
+    people = [{"record_id": i, "person_name": n, "time_dynasty": "清代"} for i, n in enumerate(names)]
+    schema = "kr_id string, loaded_at string, authorship array<struct<record_id:long,person_name:string,time_dynasty:string>>"
+    spark.createDataFrame([("w", "2020", people)], schema).write.parquet(f"{tmp_path}/work.parquet")
+    got = {r.record_id: (r.era, r.core) for r in QUERIES["person_cores_all"](spark, str(tmp_path)).collect()}
+    assert {k: (e, c.strip()) for k, (e, c) in got.items()} == {i: ("清", "王安石") for i in range(5)}
+    assert all(c == c.strip() for _, c in got.values())

@@ -148,7 +148,7 @@ def person_core(c: Column) -> Column:
     """A name without an appended "and others", a role in brackets or a dynasty before it."""
     c = F.regexp_replace(trimmed(c), r"[\s\x{3000}]*等$", "")
     c = F.regexp_replace(c, r"[（(][^（）()]*[)）]$", "")
-    return trimmed(F.regexp_replace(c, r"^[（(〔\[][^（）()〔〕\[\]]{1,3}[)）〕\]]", ""))
+    return trimmed(F.regexp_replace(trimmed(c), r"^[（(〔\[][^（）()〔〕\[\]]{1,3}[)）〕\]]", ""))
 
 
 def label_in(c: Column, table: Mapping[str, str]) -> Column:

@@ -19,4 +19,6 @@ def reachable(edges: DataFrame, a: str, b: str, start: DataFrame, node: str, max
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"the closure has not settled after {max_rounds} rounds")
     return seen

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import stage
+from tessella.session import stage, unstage
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -14,13 +14,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Alternating large-star and small-star steps, each one shuffle with partial
     aggregation; rounds end when nothing changes, O(log n) on the longest path.
     Links with a null end and self-links join nothing; an end with only a
-    self-link is its own component. No links give no rows.
+    self-link is its own component. No links give no rows. Links that have
+    not settled after max_rounds raise.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     links = stage(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = links.where("u <> v")
-    before = None
+    written, links = links, links.where("u <> v")
+    first, before = written, None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u goes to the smallest node around u
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,9 +31,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         links = stage(small, "cc")
+        if written is not first:
+            unstage(written)
+        written = links
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -241,8 +241,8 @@ def finalized(text: str, most: int = 100) -> str:
         for p, r in rules:
             text = re.sub(p, r, text)
         if text == before:
-            break
-    return text
+            return text
+    raise ValueError(f"punctuation has not settled after {most} rounds")
 
 
 def tidy(c: Column) -> Column:

@@ -9,37 +9,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def gap_islands(df: DataFrame, keys: Sequence[str], at: Column, gap: Column | float, tie: Sequence[str] = ()) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, how: str = "sum", own: bool = True, part: Column | None = None) -> DataFrame:
+    """df with name: the sum, max or last given value of the rows up to each (own) or before it.
+
+    part splits a key's rows into stretches that follow each other in the order (a column that never falls along it): each
+    stretch is a window of its own and takes over what the stretches before it came to, so that a key of any size is shared
+    out. Without it a key is one window.
+    """
+    to = 0 if own else -1
+    over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    if part is None:
+        return df.withColumn(name, over(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, to)))
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    v = df.withColumn("_v", value).withColumn("_part", part)
+    whole = {"sum": F.sum("_v"), "max": F.max("_v"), "last": F.max_by("_v", F.when(F.col("_v").isNotNull(), place))}[how]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = v.groupBy(*keys, "_part").agg(whole.alias("_whole")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), over(F.col("_whole")).over(before).alias("_carry")).where("_carry is not null")
+    inner = v.withColumn("_in", over(F.col("_v")).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, to)))
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = {"sum": F.coalesce(F.col("_in") + F.col("_carry"), F.col("_in"), F.col("_carry")), "max": F.greatest("_in", "_carry"), "last": F.coalesce("_in", "_carry")}[how]
+    return inner.join(parts, same, "left").withColumn(name, both).drop("_v", "_part", "_in", "_p", "_carry", *[f"_k{i}" for i in range(len(keys))])
+
+
+def gap_islands(df: DataFrame, keys: Sequence[str], at: Column, gap: Column | float, tie: Sequence[str] = (), part: Column | None = None) -> DataFrame:
     """df with island: rows of a key number up from 0 whenever the step from the row before exceeds gap."""
-    w = Window.partitionBy(*keys).orderBy(at, *tie)
-    new = F.when(at - F.lag(at).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    order = [at, *tie]
+    marked = running(df, keys, order, at, "_prev", "last", own=False, part=part)
+    marked = marked.withColumn("_new", F.when(at - F.col("_prev") > gap, 1).otherwise(0))
+    return running(marked, keys, order, F.col("_new"), "island", "sum", part=part).drop("_new", "_prev")
+
+
+def value_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "run", part: Column | None = None) -> DataFrame:
+    """df with name: rows of a key number up from 1 whenever the value differs from that of the row before."""
+    marked = running(df, keys, order, F.struct(value), "_prev", "last", own=False, part=part)
+    marked = marked.withColumn("_new", F.when(F.col("_prev").isNotNull() & F.col(value).eqNullSafe(F.col(f"_prev.{value}")), 0).otherwise(1))
+    return running(marked, keys, order, F.col("_new"), name, "sum", part=part).drop("_new", "_prev")
 
 
-def interval_islands(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: float = 0) -> DataFrame:
-    """Merged intervals (keys, start, end, parts): those that overlap, touch, or lie within slack are one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col(start) > reach + slack, 1).otherwise(0))
-    marked = marked.withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def interval_islands(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: float = 0, width: int | None = None) -> DataFrame:
+    """Merged intervals (keys, start, end, parts): those that overlap, touch, or lie within slack are one. width: the length of line that one window takes; without it a key is one window."""
+    part = None if width is None else F.floor(F.col(start) / width)
+    marked = running(df, keys, [start, end], F.col(end), "_reach", "max", own=False, part=part).withColumn("_new", F.when(F.col(start) > F.col("_reach") + slack, 1).otherwise(0))
+    marked = running(marked, keys, [start, end], F.col("_new"), "_i", "sum", part=part)
     return marked.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("_i")
 
 
-def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int | None = None) -> DataFrame:
     """(keys, covered): length of the union of half-open intervals."""
-    return interval_islands(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+    return interval_islands(df, keys, start, end, width=width).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
 
 
-def carried_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+def carried_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, part: Column | None = None) -> DataFrame:
     """df with the last non-null value of column up to each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(column, ignorenulls=True).over(w))
+    return running(df, keys, order, F.col(column), name, "last", part=part)
 
 
-def next_given(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
-    """df with the first non-null value after each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(value, ignorenulls=True).over(w))
+def next_given(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, part: Column | None = None) -> DataFrame:
+    """df with the first non-null value after each row: the last one before it when the rows are read backwards, in time linear in the rows."""
+    back = [F.struct(F.col(o).isNull(), F.negative(F.col(o)) if dict(df.dtypes)[o] in ("int", "bigint", "double") else F.col(o)) for o in order]
+    if any(dict(df.dtypes)[o] not in ("int", "bigint", "double") for o in order):
+        w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return running(df, keys, back, value, name, "last", own=False, part=None if part is None else -part)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, tie: str, columns: Sequence[str], tolerance: float | None = None) -> DataFrame:

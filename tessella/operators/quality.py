@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tessella.operators.islands import union_length
 
 
-def coverage(spans: DataFrame, totals: DataFrame, keys: Sequence[str], start: str, end: str, total: str) -> DataFrame:
+def coverage(spans: DataFrame, totals: DataFrame, keys: Sequence[str], start: str, end: str, total: str, width: int | None = None) -> DataFrame:
     """(keys, total, covered, ratio): how much of each total the union of its spans covers; nothing covered gives 0."""
-    got = totals.join(union_length(spans, keys, start, end), list(keys), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    got = totals.join(union_length(spans, keys, start, end, width), list(keys), "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return got.select(*keys, total, "covered", F.when(F.col(total) > 0, F.col("covered") / F.col(total)).otherwise(0.0).alias("ratio"))
 
 

@@ -37,9 +37,11 @@ def suffix_pairs(names: DataFrame, whole: str, part: str, least: int = 2, most:
     return names.withColumn(part, F.explode(F.filter(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.when(n > k, F.right(F.col(whole), k))), lambda x: x.isNotNull())))
 
 
-def longest_prefix(df: DataFrame, text: str, prefixes: DataFrame, prefix: str, most: int = 12) -> DataFrame:
-    """df with prefix: the longest of prefixes that text begins with, else null; an equi-join on every beginning of the text."""
-    starts = df.select(F.col(text).alias("_t")).distinct().select("_t", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("_t"), F.lit(most))), lambda k: F.left(F.col("_t"), k))).alias(prefix))
+def longest_prefix(df: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """df with prefix: the longest of prefixes that text begins with, else null; an equi-join on the beginnings of the text of those lengths that occur among prefixes."""
+    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix)).where(F.length(prefix) > 0).distinct().collect())  # one row per length
+    at = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    starts = df.select(F.col(text).alias("_t")).distinct().select("_t", F.explode(F.transform(F.filter(at, lambda k: k <= F.length("_t")), lambda k: F.left(F.col("_t"), k))).alias(prefix))
     best = starts.join(prefixes.select(prefix).distinct(), prefix).groupBy("_t").agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
     return df.join(best, F.col(text) == F.col("_t"), "left").drop("_t")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
-    return merge.delivered_once(table(spark, d, "work"), ["kr_id"])
+    return merge.delivered_once(table(spark, d, "work").drop("loaded_at"), ["kr_id"])
 
 
 def authorships(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +59,19 @@ _ITEM = "(SELECT * FROM work_hit QUALIFY row_number() OVER (PARTITION BY qid ORD
 _KEYS = {"corpus_entry": ["id"], "catalog_hit": ["work_id"], "src_para": ["para_id"], "ref_para": ["para_id"], "segment": ["seg_id"], "juan_file": ["file_id"], "cbdb_hit": ["cbdb_id", "matched_string"]}
 
 
-def once(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return merge.delivered_once(table(spark, d, name), _KEYS[name])
+def once(spark: SparkSession, d: str, name: str, where: str = "true") -> DataFrame:
+    """A table with every delivery counted once; deliveries agree in content, so where is tested before they are joined."""
+    return merge.delivered_once(table(spark, d, name).where(where).drop("loaded_at"), _KEYS[name])
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return merge.first_wins(table(spark, d, "work_hit"), ["qid"], ["hit_id", "loaded_at"])
+    """The items behind the hits, whose item fields agree."""
+    return merge.delivered_once(table(spark, d, "work_hit").select("qid", "wikidata_title", "aliases", "dynasty_label", "start_year", "end_year", "description"), ["qid"])
+
+
+def stretch(at: str, size: int = 4096) -> Column:
+    """Which stretch of that many numbers a row lies in, for windows that share out a long file."""
+    return F.floor(F.col(at) / size)
 
 
 def _given(c: str) -> str:
@@ -110,20 +117,12 @@ def shared_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT kr_id, title, list_distinct(list_transform(range(1, length(title)), lambda i: substring(title, i, 2))) AS g FROM {_WORK} WHERE length(title) >= 2),
-    i AS (SELECT qid, wikidata_title, list_distinct(list_transform(range(1, length(wikidata_title)), lambda i: substring(wikidata_title, i, 2))) AS g FROM {_ITEM} WHERE length(wikidata_title) >= 2),
-    c AS (SELECT DISTINCT kr_id, qid FROM (SELECT kr_id, substring(title, 1, 2) AS k FROM t) JOIN (SELECT qid, substring(wikidata_title, 1, 2) AS k FROM i) USING (k))
-    SELECT kr_id, qid, round(len(list_intersect(t.g, i.g)) / len(list_distinct(list_concat(t.g, i.g))), 6) AS similarity FROM c JOIN t USING (kr_id) JOIN i USING (qid)"""
+    f"""WITH t AS (SELECT kr_id, unnest(list_distinct(list_transform(range(1, length(title)), lambda i: substring(title, i, 2)))) AS g FROM {_WORK} WHERE length(title) >= 2),
+    i AS (SELECT qid, unnest(list_distinct(list_transform(range(1, length(wikidata_title)), lambda i: substring(wikidata_title, i, 2)))) AS g FROM {_ITEM} WHERE length(wikidata_title) >= 2),
+    c AS (SELECT kr_id, qid, count(*) AS n FROM t JOIN i USING (g) GROUP BY ALL)
+    SELECT kr_id, qid, round(n / (a + b - n), 6) AS similarity FROM c JOIN (SELECT kr_id, count(*) AS a FROM t GROUP BY 1) USING (kr_id) JOIN (SELECT qid, count(*) AS b FROM i GROUP BY 1) USING (qid)"""
 )
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Bigram similarity of works and items whose titles begin alike."""
-    t = works(spark, d).where(F.length("title") >= 2).select("kr_id", F.left("title", F.lit(2)).alias("k"), T.grams(F.col("title"), 2).alias("g"))
-    i = items(spark, d).where(F.length("wikidata_title") >= 2).select("qid", F.left("wikidata_title", F.lit(2)).alias("k"), T.grams(F.col("wikidata_title"), 2).alias("h"))
-    return t.join(i, "k").select("kr_id", "qid", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
-
-
-@query()
-def title_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
     """Bigram similarity of all works and items that share a bigram, wherever it stands in the titles."""
     t, i = works(spark, d).where(F.length("title") >= 2), items(spark, d).where(F.length("wikidata_title") >= 2)
     shared = blocking.shared_grams(t, i, "kr_id", "title", "qid", "wikidata_title", k=2)
@@ -140,7 +139,7 @@ def title_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
 )
 def content_keys(spark: SparkSession, d: str) -> DataFrame:
     """Comparison keys of paragraphs; the first of each key stands, the others are marked."""
-    p = once(spark, d, "src_para").where("text is not null").select("para_id", T.para_key(F.col("text")).alias("k"))
+    p = once(spark, d, "src_para", "text is not null").select("para_id", T.para_key(F.col("text")).alias("k"))
     first = p.where("k <> ''").groupBy("k").agg(F.min("para_id").alias("first"))
     return p.join(first, "k", "left").select("para_id", F.length("k").alias("key_length"), F.md5("k").alias("key_digest"), F.coalesce(F.col("para_id") != F.col("first"), F.lit(False)).alias("duplicate"))
 
@@ -179,18 +178,23 @@ def juan_numbers(spark: SparkSession, d: str) -> DataFrame:
 def entry_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids made from number and path; rows of the catalogue folder are marked."""
     root = F.split("rel_path", "/")[0]
-    return once(spark, d, "corpus_entry").where("rel_path is not null").select("id", F.concat(F.lit("dz"), F.lpad(F.coalesce("dz_no", F.lit("")), 4, "0"), F.lit("-"), F.left(F.sha1("rel_path"), F.lit(12))).alias("made"), root.alias("root"), (root == "目錄").alias("catalogue"))
+    return once(spark, d, "corpus_entry", "rel_path is not null").select("id", F.concat(F.lit("dz"), F.lpad(F.coalesce("dz_no", F.lit("")), 4, "0"), F.lit("-"), F.left(F.sha1("rel_path"), F.lit(12))).alias("made"), root.alias("root"), (root == "目錄").alias("catalogue"))
 
 
-@query(f"SELECT record_id, {era_sql('time_dynasty')} AS era, regexp_replace(regexp_replace(regexp_replace(regexp_replace(person_name, '^[ \\t\\n\\r　]+|[ \\t\\n\\r　]+$', '', 'g'), '[\\s　]*等$', ''), '[（(][^（）()]*[)）]$', ''), '^[（(〔\\[][^（）()〔〕\\[\\]]{{1,3}}[)）〕\\]]', '') AS core FROM {_AUTHOR} WHERE person_name IS NOT NULL AND NOT regexp_matches(person_name, '^[（(].*[ 　]|[ 　][（(]|[ 　]等?$|[)）〕][ 　]')")
-def person_cores(spark: SparkSession, d: str) -> DataFrame:
-    """Names without what people add to them, and dynasties under one label."""
-    a = authorships(spark, d).where(F.col("person_name").isNotNull() & ~F.col("person_name").rlike("^[（(].*[ 　]|[ 　][（(]|[ 　]等?$|[)）〕][ 　]"))
-    return a.select("record_id", T.label_in(F.col("time_dynasty"), ERAS).alias("era"), T.person_core(F.col("person_name")).alias("core"))
+_SP = "[ \\t\\n\\r　]"
 
 
-@query()
-def person_cores_all(spark: SparkSession, d: str) -> DataFrame:
+def _core_sql(c: str) -> str:
+    """What person_core does, in SQL."""
+    trim = f"regexp_replace({{0}}, '^{_SP}+|{_SP}+$', '', 'g')"
+    c = f"regexp_replace({trim.format(c)}, '[\\s　]*等$', '')"
+    c = f"regexp_replace({c}, '[（(][^（）()]*[)）]$', '')"
+    c = f"regexp_replace({trim.format(c)}, '^[（(〔\\[][^（）()〔〕\\[\\]]{{{{1,3}}}}[)）〕\\]]', '')".replace("{{1,3}}", "{1,3}")
+    return trim.format(c)
+
+
+@query(f"SELECT record_id, {era_sql('time_dynasty')} AS era, {_core_sql('person_name')} AS core FROM {_AUTHOR} WHERE person_name IS NOT NULL")
+def person_cores(spark: SparkSession, d: str) -> DataFrame:
     """Names of all authorship records without what people add to them, and dynasties under one label."""
     a = authorships(spark, d).where(F.col("person_name").isNotNull())
     return a.select("record_id", T.label_in(F.col("time_dynasty"), ERAS).alias("era"), T.person_core(F.col("person_name")).alias("core"))
@@ -258,16 +262,16 @@ def work_entries(spark: SparkSession, d: str) -> DataFrame:
 )
 def title_sources(spark: SparkSession, d: str) -> DataFrame:
     """Each title with its id in the first of three sources that has it."""
-    a = once(spark, d, "catalog_hit").where("title <> ''").select("title", F.lit("catalog").alias("source"), F.col("work_id").alias("id"))
-    b = once(spark, d, "corpus_entry").where("title <> ''").select("title", F.lit("corpus").alias("source"), "id")
+    a = once(spark, d, "catalog_hit", "title <> ''").select("title", F.lit("catalog").alias("source"), F.col("work_id").alias("id"))
+    b = once(spark, d, "corpus_entry", "title <> ''").select("title", F.lit("corpus").alias("source"), "id")
     c = works(spark, d).where("title <> ''").select("title", F.lit("work").alias("source"), F.col("kr_id").alias("id"))
     return merge.priority_union([a, b, c], ["title"], ["id"])
 
 
 @query(f"SELECT coalesce(a.dynasty, b.dynasty) AS dynasty, coalesce(a.n, 0) AS catalogued, coalesce(b.n, 0) AS held FROM (SELECT dynasty, count(*) AS n FROM {_CATALOG} WHERE dynasty <> '' GROUP BY 1) a FULL JOIN (SELECT dynasty, count(*) AS n FROM {_CORPUS} WHERE dynasty <> '' GROUP BY 1) b ON a.dynasty = b.dynasty")
 def dynasty_holdings(spark: SparkSession, d: str) -> DataFrame:
-    a = once(spark, d, "catalog_hit").where("dynasty <> ''").groupBy("dynasty").agg(F.count("*").alias("catalogued"))
-    b = once(spark, d, "corpus_entry").where("dynasty <> ''").groupBy("dynasty").agg(F.count("*").alias("held"))
+    a = once(spark, d, "catalog_hit", "dynasty <> ''").groupBy("dynasty").agg(F.count("*").alias("catalogued"))
+    b = once(spark, d, "corpus_entry", "dynasty <> ''").groupBy("dynasty").agg(F.count("*").alias("held"))
     return a.join(b, "dynasty", "full_outer").select("dynasty", F.coalesce("catalogued", F.lit(0)).alias("catalogued"), F.coalesce("held", F.lit(0)).alias("held"))
 
 
@@ -336,8 +340,8 @@ def first_id_by_name(spark: SparkSession, d: str) -> DataFrame:
 )
 def best_segments(spark: SparkSession, d: str) -> DataFrame:
     """The segment that each reference paragraph overlaps most."""
-    r = once(spark, d, "ref_para").where("han_start < han_end").select("para_id", "juan_id", "han_start", "han_end")
-    s = merge.first_wins(once(spark, d, "segment").where("han_start < han_end").select("juan_id", F.col("han_start").alias("a"), F.col("han_end").alias("b"), "seg_id"), ["juan_id", "a", "b"], ["seg_id"])
+    r = once(spark, d, "ref_para", "han_start < han_end").select("para_id", "juan_id", "han_start", "han_end")
+    s = merge.first_wins(once(spark, d, "segment", "han_start < han_end").select("juan_id", F.col("han_start").alias("a"), F.col("han_end").alias("b"), "seg_id"), ["juan_id", "a", "b"], ["seg_id"])
     got = islands.overlap_best(r, s, ["juan_id"], "han_start", "han_end", "a", "b", 64)
     return got.where("best is not null").select("para_id", F.col("best.seg_id").alias("seg_id"), "shared")
 
@@ -381,7 +385,7 @@ def build_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT dz_no, count(*) AS n, min(id) AS first_id FROM {_CORPUS} WHERE dz_no <> '' GROUP BY 1 HAVING count(*) > 1")
 def shared_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "corpus_entry").where("dz_no <> ''").groupBy("dz_no").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    return once(spark, d, "corpus_entry", "dz_no <> ''").groupBy("dz_no").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 @query(
@@ -389,7 +393,7 @@ def shared_numbers(spark: SparkSession, d: str) -> DataFrame:
 )
 def folded_entries(spark: SparkSession, d: str) -> DataFrame:
     """Per number the first value given in each column, in the order of ids."""
-    e = once(spark, d, "corpus_entry").where("dz_no is not null").select("dz_no", "id", "title", "section", "dynasty", "authors")
+    e = once(spark, d, "corpus_entry", "dz_no is not null").select("dz_no", "id", "title", "section", "dynasty", "authors")
     return merge.first_given_per_column(e, ["dz_no"], ["id"])
 
 
@@ -409,8 +413,8 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 )
 def segment_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of segments without a missing number."""
-    runs = islands.gap_islands(once(spark, d, "segment").select("juan_id", "id", "han"), ["juan_id"], F.col("id"), 1)
-    return runs.groupBy("juan_id", "island").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("segments"), F.sum(F.length(F.coalesce("han", F.lit("")))).alias("chars"))
+    runs = islands.gap_islands(once(spark, d, "segment").select("juan_id", "id", F.length(F.coalesce("han", F.lit(""))).alias("han")), ["juan_id"], F.col("id"), 1, part=stretch("id"))
+    return runs.groupBy("juan_id", "island").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("segments"), F.sum("han").alias("chars"))
 
 
 @query(
@@ -424,21 +428,21 @@ def juan_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How much of each juan its text and commentary segments cover."""
     s = once(spark, d, "segment")
     totals = s.groupBy("juan_id").agg(F.max("han_end").alias("total"))
-    got = quality.coverage(s.where("kind <> 'head' and han_start < han_end"), totals, ["juan_id"], "han_start", "han_end", "total")
+    got = quality.coverage(s.where("kind <> 'head' and han_start < han_end"), totals, ["juan_id"], "han_start", "han_end", "total", 1 << 16)
     return got.select("juan_id", "total", F.col("covered").cast("long").alias("covered"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"SELECT para_id, last_value(CASE WHEN coalesce(heading, '') <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY file ORDER BY para_idx, para_id ROWS UNBOUNDED PRECEDING) AS under FROM {_SRC}")
 def headings_above(spark: SparkSession, d: str) -> DataFrame:
     """The heading each paragraph stands under."""
-    p = once(spark, d, "src_para").withColumn("h", F.when(F.coalesce("heading", F.lit("")) != "", F.col("text")))
-    return islands.carried_forward(p, ["file"], ["para_idx", "para_id"], "h", "under").select("para_id", "under")
+    p = once(spark, d, "src_para").select("file", "para_idx", "para_id", F.when(F.coalesce("heading", F.lit("")) != "", F.col("text")).alias("h"))
+    return islands.carried_forward(p, ["file"], ["para_idx", "para_id"], "h", "under", stretch("para_idx")).select("para_id", "under")
 
 
 @query(f"SELECT para_id, first_value(CASE WHEN coalesce(heading, '') <> '' THEN para_id END IGNORE NULLS) OVER (PARTITION BY file ORDER BY para_idx, para_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_heading FROM {_SRC}")
 def headings_below(spark: SparkSession, d: str) -> DataFrame:
-    p = once(spark, d, "src_para")
-    return islands.next_given(p, ["file"], ["para_idx", "para_id"], F.when(F.coalesce("heading", F.lit("")) != "", F.col("para_id")), "next_heading").select("para_id", "next_heading")
+    p = once(spark, d, "src_para").select("file", "para_idx", "para_id", "heading")
+    return islands.next_given(p, ["file"], ["para_idx", "para_id"], F.when(F.coalesce("heading", F.lit("")) != "", F.col("para_id")), "next_heading", stretch("para_idx")).select("para_id", "next_heading")
 
 
 @query(
@@ -446,9 +450,9 @@ def headings_below(spark: SparkSession, d: str) -> DataFrame:
     first_value(CASE WHEN kind = 'comm' THEN seg_id END IGNORE NULLS) OVER (PARTITION BY juan_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS comm_behind FROM {_SEG}"""
 )
 def nearest_commentary(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("juan_id").orderBy("id")
-    comm = F.when(F.col("kind") == "comm", F.col("seg_id"))
-    return once(spark, d, "segment").select("seg_id", F.last(comm, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("comm_before"), F.first(comm, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("comm_behind"))
+    s = once(spark, d, "segment").select("seg_id", "juan_id", "id", F.when(F.col("kind") == "comm", F.col("seg_id")).alias("comm"))
+    s = islands.running(s, ["juan_id"], ["id"], F.col("comm"), "comm_before", "last", own=False, part=stretch("id"))
+    return islands.next_given(s, ["juan_id"], ["id"], F.col("comm"), "comm_behind", stretch("id")).select("seg_id", "comm_before", "comm_behind")
 
 
 @query(
@@ -457,16 +461,14 @@ def nearest_commentary(spark: SparkSession, d: str) -> DataFrame:
 )
 def kind_runs(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring segments of one kind stitched together."""
-    w = Window.partitionBy("juan_id").orderBy("id")
-    s = once(spark, d, "segment").select("juan_id", "id", "kind").withColumn("new", F.when(F.col("kind").eqNullSafe(F.lag("kind").over(w)), 0).otherwise(1))
-    s = s.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = islands.value_runs(once(spark, d, "segment").select("juan_id", "id", "kind"), ["juan_id"], ["id"], "kind", part=stretch("id"))
     return s.groupBy("juan_id", "run").agg(F.min("kind").alias("kind"), F.count("*").alias("segments"))
 
 
 @query(f"SELECT file, len(l) AS paragraphs, l[least(len(l) - 1, CAST(floor(0.9 * len(l)) AS INTEGER)) + 1] AS p90 FROM (SELECT file, list_sort(list(length(text))) AS l FROM {_SRC} WHERE text IS NOT NULL GROUP BY file)")
 def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank 90th percentile of paragraph lengths in each file, by counts of lengths."""
-    n = once(spark, d, "src_para").where("text is not null").groupBy("file", F.length("text").alias("len")).agg(F.count("*").alias("c"))
+    n = once(spark, d, "src_para", "text is not null").groupBy("file", F.length("text").alias("len")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("file").orderBy("len")
     n = n.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy("file")))
     at = F.least(F.col("all") - 1, F.floor(0.9 * F.col("all"))) + 1
@@ -484,7 +486,7 @@ def punctuation_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT para_id, len(list_filter(string_split(regexp_replace(text, '([。！？][」』）”’]{{0,2}})', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '[ \\t\\n\\r　]+', '', 'g') <> '')) AS pieces FROM {_SRC} WHERE text IS NOT NULL")
 def plain_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return once(spark, d, "src_para").where("text is not null").select("para_id", F.size(T.sentences_plain(F.col("text"))).alias("pieces"))
+    return once(spark, d, "src_para", "text is not null").select("para_id", F.size(T.sentences_plain(F.col("text"))).alias("pieces"))
 
 
 @query(f"SELECT file_id, tag, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(body_xml, '<([A-Za-z][A-Za-z0-9]*)[\\s/>]', 1)) AS tag FROM {_JUAN}) GROUP BY ALL")
@@ -528,15 +530,15 @@ def body_units(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def note_spans(spark: SparkSession, d: str) -> DataFrame:
     """Bracketed notes of the source paragraphs."""
-    return documents.notes(once(spark, d, "src_para").where("text is not null"), "para_id", "text")
+    return documents.notes(once(spark, d, "src_para", "text is not null"), "para_id", "text")
 
 
 @query()
 def aligned_units(spark: SparkSession, d: str) -> DataFrame:
     """Source paragraphs of the same Han characters for each reference paragraph, the least of equal ones."""
     key = T.para_key(F.col("text"))
-    r = once(spark, d, "ref_para").where("text is not null").select("para_id", key.alias("k"))
-    s = once(spark, d, "src_para").where("text is not null").select(F.col("para_id").alias("src_id"), key.alias("k"))
+    r = once(spark, d, "ref_para", "text is not null").select("para_id", key.alias("k"))
+    s = once(spark, d, "src_para", "text is not null").select(F.col("para_id").alias("src_id"), key.alias("k"))
     return r.where("k <> ''").join(s.where("k <> ''").groupBy("k").agg(F.min("src_id").alias("src_id")), "k").select("para_id", "src_id")
 
 
@@ -555,12 +557,12 @@ def carried_punctuation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tidied_text(spark: SparkSession, d: str) -> DataFrame:
     """Punctuation of the segments tidied to a fixpoint."""
-    return once(spark, d, "segment").where("text is not null").select("seg_id", documents.tidy(F.col("text")).alias("text"))
+    return once(spark, d, "segment", "text is not null").select("seg_id", documents.tidy(F.col("text")).alias("text"))
 
 
 @query()
 def matched_runs(spark: SparkSession, d: str) -> DataFrame:
     """Common runs of segments of one juan that follow each other."""
     w = Window.partitionBy("juan_id").orderBy("id")
-    s = once(spark, d, "segment").where("length(han) > 0").select("juan_id", "seg_id", "han", F.lead("han").over(w).alias("next"), F.lead("seg_id").over(w).alias("next_id")).where("next is not null")
+    s = once(spark, d, "segment", "length(han) > 0").select("juan_id", "seg_id", "han", F.lead("han").over(w).alias("next"), F.lead("seg_id").over(w).alias("next_id")).where("next is not null")
     return s.select("seg_id", "next_id", F.size(align.matching_blocks(F.col("han"), F.col("next"))).alias("runs"), F.round(align.sequence_ratio(F.col("han"), F.col("next")), 6).alias("ratio"))

@@ -175,7 +175,7 @@ def longest_prefixes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     words = F.split("p_type", " ")
     prefixes = p.select(F.explode(F.array(words[0], F.concat_ws(" ", words[0], F.coalesce(F.get(words, 1), F.lit("")))))).toDF("prefix").distinct()
-    return resolve.longest_prefix(p, "p_type", prefixes, "prefix", 40).select("p_partkey", "p_type", "prefix")
+    return resolve.longest_prefix(p, "p_type", prefixes, "prefix").select("p_partkey", "p_type", "prefix")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -204,8 +204,9 @@ def never_bulk(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT r_name, c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
 def region_segments(spark: SparkSession, d: str) -> DataFrame:
     """All patterns of two short lists: the region names and the segments."""
-    names = table(spark, d, "region").agg(F.sort_array(F.collect_set("r_name")).alias("names")).withColumn("one", F.lit(1))  # one row, put beside every segment
-    return table(spark, d, "customer").select("c_mktsegment").distinct().withColumn("one", F.lit(1)).join(names, "one").select(F.explode("names").alias("r_name"), "c_mktsegment")
+    names = table(spark, d, "region").select("r_name")
+    few = F.broadcast(names) if names.limit(1001).count() <= 1000 else names  # a list of patterns; a longer one is not sent to every executor
+    return table(spark, d, "customer").select("c_mktsegment").distinct().crossJoin(few).select("r_name", "c_mktsegment")
 
 
 @query(

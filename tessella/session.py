@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,20 +35,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local session uses a folder of its own; a cluster is refused, since its executors could not read what others wrote."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"tessella-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _remove(jvm: object, conf: object, path: str, owner: int) -> None:
+    if os.getpid() == owner:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            at = jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[attr-defined]
+            at.getFileSystem(conf).delete(at, True)
+
+
+_staged: set[str] = set()
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged tables; it goes when the driver's process ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/{sc.applicationId}"
+    if path not in _staged:
+        _staged.add(path)
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), path, os.getpid())  # noqa: SLF001
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
     The files survive the loss of executors, and later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessella_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove the table of a staged df that nothing will read again."""
+    path = getattr(df, "_tessella_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), path, os.getpid())  # noqa: SLF001

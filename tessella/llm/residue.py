@@ -1,11 +1,13 @@
 """Template residue, filler, error pages and script notices.
 
-Bodies (texts without page furniture, with numbers and ids masked) get a SimHash;
+Bodies (texts without page furniture; slots, numbers and ids masked) get a SimHash;
 partitioned tables find bodies within a few bits, a prefix-filtered join on
 five-word shingles every other pair of the wanted similarity, the similarity of
-the shingles verifies them, and trusted labels spread through the connected
-components. A last exact check keeps a slot label from reaching a
-text in which the slot was filled in.
+the shingles verifies them. Trusted labels (listed slots, a few sure beginnings of
+messages, filler vocabulary) spread through the connected components, and a
+component that stands on several differing pages and speaks of servers and
+browsers is trusted as a whole, whatever its wording. A last exact check keeps a
+slot label from reaching a text in which the slot was filled in.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ _QUOTE_BEFORE, _QUOTE_AFTER = "\"'“‘«‹「『《", "\"'”’»›」』
 # Parts of pages around a text.
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]{0,200})?/?>", re.I)
 _WIDTH = [(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)] + [("\u3000", " "), ("\u00a0", " "), ("’", "'")]
-_MASK = re.compile(r"\b\d{4}-\d\d-\d\d(?:[ t]\d\d:\d\d(?::\d\d)?)?|\b[0-9a-f]*\d[0-9a-f]*\b|\d+")
+_MASK = re.compile(r"\b\w*[^\W_]_\w*[^\W_]\w*\b(?!\()|\b\d{4}-\d\d-\d\d(?:[ t]\d\d:\d\d(?::\d\d)?)?|\b[0-9a-f]*\d[0-9a-f]*\b|\d+")
 _HOST = re.compile(r"\b[a-z0-9-]+\.(?:example|com|org|net|edu|gov|io|cn|jp|de|fr|kr|tw)\b")
 FURNITURE = re.compile(
     r"""^(?:
@@ -88,39 +90,28 @@ FURNITURE = re.compile(
 _LEAD = re.compile(r"^(?:[\s*!⚠•·>\[\]\-—–:：#]+|(?:注意|警告|提示|錯誤|错误|お知らせ|알림|error|warning|notice|oops|hmm|sorry|attention|achtung|hinweis)\s*[:：!！—–….,，]+\s*)+")
 _TRAIL = re.compile(r"(?:\s*[—–-]+\s*(?:apache|nginx|iis)\b.{0,60}|\s*[(（\[【]?\s*(?:錯誤編號|错误代码|編號|编号|error code|code|ref(?:erence)?|id)?\s*[:：]?\s*#+(?:[\s#-]*#)?\s*[)）\]】]?)+$")
 
-# Whole bodies that are a notice, an error page or filler, after masking ("#" a number or id, "host" a domain).
-MESSAGES = re.compile(
-    r"""^(?:
-      (?:please\ )?(?:enable|turn\ on|activate|allow)\ (?:javascript|scripts?|cookies).{0,120}
-    | (?:you\ need\ to|you\ must|to\ \w+(?:\ \w+){0,4},?\ (?:please\ )?)\s?(?:enable|turn\ on|activate)\ (?:javascript|scripts?).{0,120}
-    | (?:this|the)\ (?:site|page|app|website|application|viewer|reader)\ (?:requires|needs|cannot\ start\ without|does\ not\ work\ without)\ (?:javascript|scripts).{0,160}
-    | (?:your\ browser|javascript)\ (?:has\ scripting\ disabled|does\ not\ support|is\ (?:disabled|required|not\ enabled)).{0,160}
-    | checking\ your\ browser\ before\ accessing.{0,180} | verify\ you\ are\ human.{0,180} | just\ a\ moment.{0,120}
-    | bitte\ (?:aktivieren|schalten)\ sie\ javascript.{0,120} | pour\ (?:lire|voir|afficher).{0,40}activez\ javascript.{0,120} | veuillez\ activer\ javascript.{0,120}
-    | (?:本網站|本网站|本站|此網站|此网站|此頁面|此页面|您的浏览器|您的瀏覽器|請|请).{0,20}(?:javascript|脚本|腳本).{0,60}
-    | .{0,30}(?:javascript|スクリプト)を有効に(?:して|する).{0,30}
-    | .{0,10}자바스크립트를\ .{0,80}
-    | (?:error\ )?\#\ (?:not\ found|bad\ gateway|forbidden|gateway\ time-?out|service\ (?:temporarily\ )?unavailable|internal\ server\ error|bad\ request|unauthorized|method\ not\ allowed|too\ many\ requests|gone).{0,200}
-    | (?:not\ found|bad\ gateway|gateway\ time-?out|forbidden|bad\ request|unauthorized)(?:\W.{0,160})?
-    | internal\ server\ error.{0,200} | service\ (?:temporarily\ )?unavailable.{0,160}
-    | the\ requested\ url\ .{0,80}was\ not\ found\ on\ this\ server.{0,80}
-    | access\ denied\.?.{0,60}permission\ to\ access.{0,120} | forbidden\W.{0,120}permission\ to\ access.{0,120}
-    | (?:we\ )?can't\ find\ the\ page\ you're\ looking\ for.{0,160} | (?:the\ )?page\ (?:not\ found|you\ (?:requested|are\ looking\ for)).{0,160}
-    | too\ many\ requests.{0,160} | (?:your\ )?session\ (?:has\ )?expired.{0,120}
-    | error\ establishing\ a\ database\ connection.{0,60} | establishing\ a\ database\ connection
-    | (?:warning|fatal\ error|notice|parse\ error):?\ .{0,80}(?:\ in\ /\S+\.php\ on\ line\ \#).{0,40} | mysqli?_connect\(\).{0,120}
-    | traceback\ \(most\ recent\ call\ last\).{0,400}
-    | \{\s*"(?:error|message|status)"\s*:\s*.{0,160}\}
-    | erreur\ \#\ ?:.{0,160} | (?:page\ introuvable|accès\ refusé).{0,120}
-    | zugriff\ verweigert.{0,120} | seite\ nicht\ gefunden.{0,120} | interner\ serverfehler.{0,120}
-    | 系統忙碌中.{0,40} | 系统繁忙.{0,40} | 目前无法显示此页面.{0,60} | 目前無法顯示此頁面.{0,60} | 页面不存在.{0,60} | 頁面不存在.{0,60} | (?:找不到|無法找到|无法找到)(?:您|你|該|该|此)?.{0,12}(?:頁面|页面|網頁|网页).{0,50} | 伺服器(?:發生)?(?:內部)?錯誤.{0,50} | 服务器(?:内部)?错误.{0,50}
-    | お探しのページは.{0,80} | (?:ただいま|現在)(?:、)?(?:サーバー|アクセス).{0,60} | ページが見つかりません.{0,60}
-    | 요청하신\ 페이지를.{0,80} | (?:서버|일시적인)\ ?.{0,10}오류.{0,60}
-    | your\ text\ goes\ here.{0,200} | (?:insert|add|enter)\ (?:your\ )?text\ here.{0,120} | (?:this\ is\ )?(?:sample|dummy|placeholder)\ text.{0,120}
-    | ici\ votre\ texte.{0,120} | hier\ steht\ später.{0,120} | (?:mustertext|blindtext|beispieltext).{0,120} | ここに本文が入ります.{0,80} | 여기에\ 본문을\ 입력하세요.{0,80} | (?:這裡|此處|这里|此处)(?:是|為|为|填寫|填写)?(?:範例|示例|占位|測試|测试)(?:文字|内容|內容).{0,80} | 範例文字，請替換.{0,40}
-    )$""",
-    re.X | re.S,
+# How sure messages begin, one or two a language, after masking ("#" a number or id, "host" a domain), and placeholder sentences.
+SEEDS = re.compile(
+    r"""(?:error\ |http\ )?(?:\#\ )?(?:bad\ request|unauthorized|forbidden|not\ found|method\ not\ allowed|request\ time-?out|gone|too\ many\ requests|internal\ server\ error|not\ implemented|bad\ gateway|service\ unavailable|gateway\ time-?out)(?!\w)
+    | (?:please\ )?enable\ javascript | traceback\ \(most\ recent\ call\ last\) | \{\s*"error"\s*:
+    | bitte\ aktivieren\ sie\ javascript | seite\ nicht\ gefunden
+    | veuillez\ activer\ javascript | erreur\ \#
+    | .{0,3}(?:浏览器|瀏覽器)不支持脚本 | .{0,3}需要啟用\ ?javascript | (?:页面|頁面)不存在
+    | .{0,3}ページを表示するには | お探しのページは
+    | 자바스크립트를 | 요청하신\ 페이지를""",
+    re.X,
 )
+PLACEHOLDERS = re.compile(r"your\ text\ goes\ here(?!\w)|(?:mustertext|hier\ steht\ später)(?!\w)|ici\ votre\ texte(?!\w)|ここに本文が入ります|여기에\ 본문을\ 입력하세요|(?:這裡|此處|这里|此处)為?(?:範例|示例|占位)")
+# Words that messages of servers and browsers are made of.
+HINTS = re.compile(
+    r"javascript|\bscript(?:s|ing)?\b|\bbrowser\w*|\bcookies?\b|\bserver\b|\berrors?\b|\brequest(?:s|ed)?\b|\burl\b|\bpages?\b|\bre(?:load|try)\b|\bsession\b|\baccess(?:ing)?\b|\bdenied\b|\bpermission\b|\bforbidden\b|\bnot found\b|\bgateway\b|\btime-?out\b|\bupstream\b|\bdatabase\b|\bconnection\b|\bunavailable\b|\bmaintenance\b|\bclient\b|\bapp\b|\bhost\b|\bhuman\b|\btraceback\b|\bline\b|\bfile\b|\bmessage\b|\bcode\b|\b(?:re)?moved\b|\bdeleted\b|\bhome\b|\w+\(\)"
+    r"|\bseite\b|\bsitzung\b|\bzugriff\b|\bverweigert\b|\bfehler\b|\baktivieren\b|\breader\b|\berreur\b|\bpage\b|\bnavigateur\b|\bactivez\b|\bréessayer\b"
+    r"|脚本|腳本|浏览器|瀏覽器|[页頁]面|系[统統]|忙碌|稍[后後]|再[试試]|重新整理|服务器|伺服器|数据库|資料庫|出错|錯誤|管理[员員]|首[页頁]|不存在|[删刪]除|移[动動]|ページ|スクリプト|サーバー|有効|見つかりません|브라우저|페이지|스크립트|서버|오류|설정|주소"
+)
+HINTED, SURE = 0.15, 0.1  # share of a body that such words make up: to be worth counting, and to be trusted behind a seed
+FORMS = 3  # differing pages around one hinted body that show it to be made by a machine
+# An open slot of any shape: marks on both sides of an identifier of several parts, or doubled marks around any name.
+LOOSE = re.compile(r"(?<!\w)[^\w\s.,;:!?'\"()。，、；：？！-]{1,3}\s*[A-Za-z][a-z0-9]*(?:[_.][A-Za-z0-9]+|[A-Z][a-z0-9]+)+\s*[^\w\s.,;:!?'\"()。，、；：？！-]{1,3}(?!\w)|([^\w\s.,;:!?'\"()。，、；：？！…=*~#-])\1\s*(?:[A-Za-z][\w.]{0,40}|[一-鿿]{1,12})\s*([^\w\s.,;:!?'\"()。，、；：？！…=*~#-])\2")
 # The vocabulary of the usual filler text.
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -145,9 +136,14 @@ def find_slots(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def loose_slots(text: str, slots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans outside the slots that look like slots of another template language."""
+    return [m.span() for m in LOOSE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in slots)]
+
+
 def body_of(text: str, slots: list[tuple[int, int]]) -> str:
     """The text without furniture: folded case and width, slots, numbers, ids and hosts masked, tags and furniture lines left out."""
-    for a, b in reversed(slots):
+    for a, b in sorted(slots, reverse=True):
         text = f"{text[:a]} \x01slot {text[b:]}"
     t = text.casefold()
     if not t.isascii():
@@ -164,19 +160,31 @@ def body_of(text: str, slots: list[tuple[int, int]]) -> str:
         before = body
         body = _LEAD.sub("", body)
         if body[-1:] in ("#", ")", "]", "】") or "apache" in body[-80:] or "nginx" in body[-80:]:
-            body = (body[:-120] + _TRAIL.sub("", body[-120:])).strip()
+            body = (body[:-120] + _TRAIL.sub("", body[-120:])).strip()  # a trailer is shorter; several go one by one
     return body
 
 
-def trusted_label(body: str, slots: bool) -> str | None:
-    """'slot', 'message' or 'filler' where the body alone shows it, else None."""
+def masked(text: str) -> tuple[str, int, int]:
+    """(body, slots, open slots of unlisted shape) of a text."""
+    slots = find_slots(text)
+    more = loose_slots(text, slots)
+    return body_of(text, slots + more), len(slots), len(more)
+
+
+def hint_share(body: str) -> float:
+    """Share of the body, white space left out, that words of servers and browsers make up."""
+    return sum(len(m[0]) for m in HINTS.finditer(body)) / max(len(body) - body.count(" "), 1)
+
+
+def trusted_label(body: str, slots: bool, seeds: re.Pattern[str] = SEEDS) -> str | None:
+    """'slot', 'message' or 'filler' where the text alone shows it, else None."""
     if slots:
         return "slot"
     if not body:
         return None
-    if len(body) <= 600 and MESSAGES.match(body):
+    if seeds.match(body) and hint_share(body) >= SURE:
         return "message"
-    if _PERIODIC.match(body):
+    if _PERIODIC.match(body) or PLACEHOLDERS.match(body):
         return "filler"
     words = _WORD.findall(body)
     if len(words) >= 6 and sum(w in LOREM for w in words) >= 0.9 * len(words) and len(LOREM.intersection(words)) >= 4:
@@ -275,7 +283,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(size, dtype=np.int64)
         for f in frames:
-            hashes = _shingle_hashes([body_of(x, find_slots(x)) for x in f["t"]])[0].view(np.int64)
+            hashes = _shingle_hashes([masked(x)[0] for x in f["t"]])[0].view(np.int64)
             n += np.bincount(hashes & (size - 1), minlength=size)
         yield pd.DataFrame({"part": range(parts), "n": [x.tobytes() for x in np.split(n, parts)]})
 
@@ -294,34 +302,38 @@ def prefix(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
     return shingles[order[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + COMMON]]
 
 
-def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, body, sim, label, n, heads) per distinct key and text with a body: body is its digest, sim its SimHash, n the number of its shingles, heads the rarest of them.
+def prepared(df: DataFrame, key: str, text: str, seeds: re.Pattern[str] = SEEDS) -> DataFrame:
+    """(doc, raw, body, sim, label, open, hinted, n, heads) per distinct key and text with a body.
 
+    raw and body are digests of the text and of its distinct shingles, sim the SimHash, n the number of shingles and heads
+    the rarest of them; open: it has slots of unlisted shape; hinted: words of servers and browsers make up HINTED of it.
     Null texts give no row. A text of nothing but furniture, or an empty one, has no body and gives no row.
     """
 
     t = df.select(df[key].alias("doc"), df[text].alias("t")).where("t is not null")
     used = df.sparkSession.sparkContext.broadcast(_rarity(t))
 
-    @F.pandas_udf("struct<body:binary,sim:long,label:string,n:int,heads:array<long>>")
+    @F.pandas_udf("struct<body:binary,sim:long,label:string,open:boolean,hinted:boolean,n:int,heads:array<long>>")
     def prepare(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            slots = [find_slots(x) for x in s]
-            bodies = [body_of(x, y) for x, y in zip(s, slots, strict=True)]
+            found = [masked(x) for x in s]
+            bodies = [x[0] for x in found]
             hashed = _shingle_hashes(bodies)
             sims = simhashes(bodies, hashed=hashed)
             sets = [np.unique(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
             yield pd.DataFrame(
                 {
-                    "body": [None if h is None else hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x, h in zip(bodies, sims, strict=True)],
+                    "body": [None if h is None else hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x, h in zip(sets, sims, strict=True)],
                     "sim": pd.array(sims, dtype="Int64"),
-                    "label": [trusted_label(x, bool(y)) for x, y in zip(bodies, slots, strict=True)],
+                    "label": [trusted_label(x, bool(y), seeds) for x, y, _ in found],
+                    "open": [bool(z) for _, _, z in found],
+                    "hinted": [hint_share(x) >= HINTED for x in bodies],
                     "n": [len(x) for x in sets],
                     "heads": [prefix(x, used.value) for x in sets],
                 }
             )
 
-    return t.select("doc", prepare("t").alias("p")).select("doc", "p.*").where("body is not null")
+    return t.select("doc", F.xxhash64("t").alias("raw"), prepare("t").alias("p")).select("doc", "raw", "p.*").where("body is not null")
 
 
 def _tables() -> list[tuple[int, ...]]:
@@ -373,7 +385,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda x: shingles(body_of(x, find_slots(x))).view(np.int64))
+            yield s.map(lambda x: shingles(masked(x)[0]).view(np.int64))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = df.select(df[key].alias("doc"), df[text].alias("t")).where("t is not null").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", hashed("t").alias("h"))
@@ -382,21 +394,26 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     return both.where(common >= SIMILARITY * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def residue(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, component, label) of every text that is residue.
+def residue(df: DataFrame, key: str, text: str, seeds: re.Pattern[str] = SEEDS) -> DataFrame:
+    """(doc, component, label, direct) of every text that is residue.
 
-    label is the trusted label of its component: 'slot', 'message' or 'filler'.
-    A text in a component labelled by slots only counts if it has a slot itself.
-    Null and empty texts are no residue, repeated rows give one row, further
-    columns are ignored whatever their names; an empty table gives no row.
+    label is the trusted label of its component: 'slot', 'message' or 'filler'; direct tells whether the text shows it by
+    itself or has it from its component. A component without a trusted label is one of messages where hinted bodies in it
+    stand on FORMS or more differing pages. A text in a component labelled by slots only counts if it has a slot itself, of
+    a listed shape or another. Null and empty texts are no residue, repeated rows give one row, further columns are ignored
+    whatever their names; an empty table gives no row.
     """
-    prep = stage(prepared(df, key, text), "residue-prepared")
+    prep = stage(prepared(df, key, text, seeds), "residue-prepared")
     rank = F.when(F.col("label") == "message", 3).when(F.col("label") == "filler", 2).when(F.col("label") == "slot", 1).otherwise(0)
     bodies = stage(prep.groupBy("body").agg(F.min("doc").alias("rep"), F.min("sim").alias("sim"), F.max(rank).alias("rank"), F.first("n").alias("n"), F.first("heads").alias("heads")), "residue-bodies")
     near = stage(candidates(bodies.select("rep", "sim")).unionByName(shingle_candidates(bodies)).distinct(), "residue-pairs")
     edges = stage(verified(near, df, key, text), "residue-edges")
     linked = connected_components(edges, "a", "b")
-    with_component = bodies.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = with_component.groupBy("component").agg(F.max("rank").alias("top")).where("top > 0")
-    members = with_component.join(labelled, "component").where("top > 1 or rank = 1").select("body", "component", "top")
-    return prep.select("doc", "body").distinct().join(members, "body").select("doc", "component", F.element_at(F.array(F.lit("slot"), F.lit("filler"), F.lit("message")), F.col("top")).alias("label"))
+    placed = stage(bodies.select("body", "rep", "rank").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("body", "rank", F.coalesce("component", "rep").alias("component")), "residue-placed")
+    trusted = placed.where("rank > 0").groupBy("component").agg(F.max("rank").alias("top"))
+    pages = prep.where("hinted").select("body", "raw").distinct().join(placed.select("body", "component"), "body").groupBy("component").agg(F.countDistinct("raw").alias("forms")).where(F.col("forms") >= FORMS)
+    labelled = trusted.unionByName(pages.select("component", F.lit(3).alias("top"))).groupBy("component").agg(F.max("top").alias("top"))
+    members = placed.join(labelled, "component").select("body", "component", "top")
+    own = prep.groupBy("doc", "body").agg(F.max(rank).alias("own"), F.max("open").alias("open"))
+    kept = own.join(members, "body").where("top > 1 or own = 1 or open")
+    return kept.select("doc", "component", F.element_at(F.array(F.lit("slot"), F.lit("filler"), F.lit("message")), F.col("top")).alias("label"), (F.col("own") > 0).alias("direct"))

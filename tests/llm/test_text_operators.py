@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -203,3 +204,31 @@ def test_long_texts_are_read_like_short_ones():
     assert residue.trusted_label(residue.body_of(filler * 6 + real + filler * 6, []), False) is None
     edge = "a note on the old hymn and its tune. " * 3
     assert residue.trusted_label(residue.body_of(edge + filler * 90 + edge, []), False) == "filler"
+
+
+def test_messages_of_unlisted_wording_are_known_by_their_pages(spark):
+    message = "Our server could not serve this page. Retry later, or open a new session in another browser."
+    pages = ["Home | Maps | Help\n{}", "{}\n© the editors", "<html><body>{}</body></html>", "2024-05-06 07:08 {}"]
+    poem = "the moon over the river was copied late and the hymn was read at dawn by the old press of the hill"
+    rows = [(i, p.format(message)) for i, p in enumerate(pages)] + [(10 + i, p.format(poem)) for i, p in enumerate(pages)] + [(20, message.replace("Retry later", "It was said"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert residue.trusted_label(residue.masked(message)[0], False) is None
+    assert {(r.doc, r.label, r.direct) for r in residue.residue(df, "doc_id", "text").collect()} == {(i, "message", False) for i in range(4)}
+    assert residue.residue(df.where("doc_id < 2"), "doc_id", "text").count() == 0  # two pages are no proof
+
+
+def test_slots_of_unlisted_shape_are_known_by_their_neighbours(spark):
+    letter = "Dear {}, the work {} was added to your shelf on {} by the keepers of the reading room."
+    listed, unlisted, filled = letter.format("{{name}}", "{{title}}", "{{date}}"), letter.format("⟦⟦name⟧⟧", "⟦⟦title⟧⟧", "⟦⟦date⟧⟧"), letter.format("Ann", "Hymns", "Monday")
+    df = spark.createDataFrame([(1, listed), (2, unlisted), (3, filled), (4, "The marks ⟦⟦name⟧⟧ are used by an old press for names.")], "doc_id long, text string")
+    assert {(r.doc, r.direct) for r in residue.residue(df, "doc_id", "text").collect()} == {(1, True), (2, False)}
+
+
+def test_half_the_seeds_find_the_other_half_too(spark):
+    texts = ["404 Not Found. The requested URL {} was not found on this server.", "Please enable JavaScript to view this page.", "本網站需要啟用 JavaScript 才能正常閱讀。請調整瀏覽器設定後重新整理。", "요청하신 페이지를 찾을 수 없습니다. 주소를 다시 확인해 주세요."]
+    pages = ["{}", "Home | Maps | Help\n{}", "{}\n© the editors", "首頁　目錄　檢索\n{}"]
+    df = spark.createDataFrame([(10 * i + j, p.format(t.format(f"/a/{i}{j}"))) for i, t in enumerate(texts) for j, p in enumerate(pages)], "doc_id long, text string")
+    every = {r.doc for r in residue.residue(df, "doc_id", "text").collect()}
+    got = residue.residue(df, "doc_id", "text", re.compile(r"(?:# )?not found(?!\w)")).collect()
+    assert {r.doc for r in got} == every == {r.doc_id for r in df.collect()}
+    assert sum(not r.direct for r in got) == 12

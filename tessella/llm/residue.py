@@ -33,6 +33,7 @@ BLOCK_BITS = (11, 11, 11, 11, 10, 10)  # of the 64 bits
 MAX_HAMMING = 3  # so three of the six blocks agree, whichever bits differ
 RARITY_BITS = 21  # of a shingle's hash, for the table of how often shingles are used
 RARITY_SAMPLE = 8  # one text of so many is counted for it
+HEAD_BYTES = 6  # of a shingle's hash, for the join on shingles; more only save candidates
 COMMON = 8  # rare shingles that a pair of the similarity has in common, or all it has in common
 
 # Shapes of slots in template languages. A name is an identifier or a short Han label.
@@ -103,11 +104,12 @@ SEEDS = re.compile(
 )
 PLACEHOLDERS = re.compile(r"your\ text\ goes\ here(?!\w)|(?:mustertext|hier\ steht\ später)(?!\w)|ici\ votre\ texte(?!\w)|ここに本文が入ります|여기에\ 본문을\ 입력하세요|(?:這裡|此處|这里|此处)為?(?:範例|示例|占位)")
 # Words that messages of servers and browsers are made of.
-HINTS = re.compile(
-    r"javascript|\bscript(?:s|ing)?\b|\bbrowser\w*|\bcookies?\b|\bserver\b|\berrors?\b|\brequest(?:s|ed)?\b|\burl\b|\bpages?\b|\bre(?:load|try)\b|\bsession\b|\baccess(?:ing)?\b|\bdenied\b|\bpermission\b|\bforbidden\b|\bnot found\b|\bgateway\b|\btime-?out\b|\bupstream\b|\bdatabase\b|\bconnection\b|\bunavailable\b|\bmaintenance\b|\bclient\b|\bapp\b|\bhost\b|\bhuman\b|\btraceback\b|\bline\b|\bfile\b|\bmessage\b|\bcode\b|\b(?:re)?moved\b|\bdeleted\b|\bhome\b|\w+\(\)"
-    r"|\bseite\b|\bsitzung\b|\bzugriff\b|\bverweigert\b|\bfehler\b|\baktivieren\b|\breader\b|\berreur\b|\bpage\b|\bnavigateur\b|\bactivez\b|\bréessayer\b"
-    r"|脚本|腳本|浏览器|瀏覽器|[页頁]面|系[统統]|忙碌|稍[后後]|再[试試]|重新整理|服务器|伺服器|数据库|資料庫|出错|錯誤|管理[员員]|首[页頁]|不存在|[删刪]除|移[动動]|ページ|スクリプト|サーバー|有効|見つかりません|브라우저|페이지|스크립트|서버|오류|설정|주소"
+HINT_WORDS = frozenset(
+    "javascript script scripts scripting browser browsers cookie cookies server error errors request requests requested url page pages reload retry session access accessing denied permission forbidden gateway timeout upstream database connection unavailable maintenance client app host human traceback line file message code moved removed deleted home"
+    " seite sitzung zugriff verweigert fehler aktivieren reader erreur navigateur activez réessayer".split()
 )
+HINT_TERMS = ("脚本", "腳本", "浏览器", "瀏覽器", "页面", "頁面", "系统", "系統", "忙碌", "稍后", "稍後", "再试", "再試", "重新整理", "服务器", "伺服器", "数据库", "資料庫", "出错", "錯誤", "管理员", "管理員", "首页", "首頁", "不存在", "删除", "刪除", "移动", "移動", "ページ", "スクリプト", "サーバー", "有効", "見つかりません", "브라우저", "페이지", "스크립트", "서버", "오류", "설정", "주소")
+_LETTERS = re.compile(r"[a-zà-ÿ]{3,}")
 HINTED, SURE = 0.15, 0.1  # share of a body that such words make up: to be worth counting, and to be trusted behind a seed
 FORMS = 3  # differing pages around one hinted body that show it to be made by a machine
 # An open slot of any shape: marks on both sides of an identifier of several parts, or doubled marks around any name.
@@ -173,7 +175,10 @@ def masked(text: str) -> tuple[str, int, int]:
 
 def hint_share(body: str) -> float:
     """Share of the body, white space left out, that words of servers and browsers make up."""
-    return sum(len(m[0]) for m in HINTS.finditer(body)) / max(len(body) - body.count(" "), 1)
+    n = sum(len(w) for w in _LETTERS.findall(body) if w in HINT_WORDS)
+    if not body.isascii():
+        n += sum(body.count(t) * len(t) for t in HINT_TERMS)
+    return n / max(len(body) - body.count(" "), 1)
 
 
 def trusted_label(body: str, slots: bool, seeds: re.Pattern[str] = SEEDS) -> str | None:
@@ -283,8 +288,9 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(size, dtype=np.int64)
         for f in frames:
-            hashes = _shingle_hashes([masked(x)[0] for x in f["t"]])[0].view(np.int64)
-            n += np.bincount(hashes & (size - 1), minlength=size)
+            for texts in _chunks(f["t"]):
+                hashes = _shingle_hashes([masked(x)[0] for x in texts])[0].view(np.int64)
+                np.add.at(n, hashes & (size - 1), 1)
         yield pd.DataFrame({"part": range(parts), "n": [x.tobytes() for x in np.split(n, parts)]})
 
     def summed(f: pd.DataFrame) -> pd.DataFrame:
@@ -302,6 +308,39 @@ def prefix(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
     return shingles[order[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + COMMON]]
 
 
+def _chunks(texts: pd.Series, chars: int = 400_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about so many characters, which bounds the arrays made of them; a longer text is a list of its own."""
+    out: list[str] = []
+    size = 0
+    for t in texts:
+        if out and size + len(t) > chars:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t)
+    if out:
+        yield out
+
+
+def _prepared(texts: list[str], seeds: re.Pattern[str], used: np.ndarray) -> pd.DataFrame:
+    found = [masked(x) for x in texts]
+    bodies = [x[0] for x in found]
+    hashed = _shingle_hashes(bodies)
+    sims = simhashes(bodies, hashed=hashed)
+    sets = [np.unique(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
+    return pd.DataFrame(
+        {
+            "body": pd.Series([None if h is None else hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x, h in zip(sets, sims, strict=True)], dtype=object),
+            "sim": pd.array(sims, dtype="Int64"),
+            "label": pd.Series([trusted_label(x, bool(y), seeds) for x, y, _ in found], dtype=object),
+            "open": [bool(z) for _, _, z in found],
+            "hinted": [hint_share(x) >= HINTED for x in bodies],
+            "n": np.array([len(x) for x in sets], dtype=np.int32),
+            "heads": pd.Series([prefix(x, used).view(np.uint8).reshape(-1, 8)[:, :HEAD_BYTES].tobytes() for x in sets], dtype=object),
+        }
+    )
+
+
 def prepared(df: DataFrame, key: str, text: str, seeds: re.Pattern[str] = SEEDS) -> DataFrame:
     """(doc, raw, body, sim, label, open, hinted, n, heads) per distinct key and text with a body.
 
@@ -313,25 +352,10 @@ def prepared(df: DataFrame, key: str, text: str, seeds: re.Pattern[str] = SEEDS)
     t = df.select(df[key].alias("doc"), df[text].alias("t")).where("t is not null")
     used = df.sparkSession.sparkContext.broadcast(_rarity(t))
 
-    @F.pandas_udf("struct<body:binary,sim:long,label:string,open:boolean,hinted:boolean,n:int,heads:array<long>>")
+    @F.pandas_udf("struct<body:binary,sim:long,label:string,open:boolean,hinted:boolean,n:int,heads:binary>")
     def prepare(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            found = [masked(x) for x in s]
-            bodies = [x[0] for x in found]
-            hashed = _shingle_hashes(bodies)
-            sims = simhashes(bodies, hashed=hashed)
-            sets = [np.unique(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
-            yield pd.DataFrame(
-                {
-                    "body": [None if h is None else hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x, h in zip(sets, sims, strict=True)],
-                    "sim": pd.array(sims, dtype="Int64"),
-                    "label": [trusted_label(x, bool(y), seeds) for x, y, _ in found],
-                    "open": [bool(z) for _, _, z in found],
-                    "hinted": [hint_share(x) >= HINTED for x in bodies],
-                    "n": [len(x) for x in sets],
-                    "heads": [prefix(x, used.value) for x in sets],
-                }
-            )
+            yield pd.concat([_prepared(x, seeds, used.value) for x in _chunks(s)] or [_prepared([], seeds, used.value)], ignore_index=True)
 
     return t.select("doc", F.xxhash64("t").alias("raw"), prepare("t").alias("p")).select("doc", "raw", "p.*").where("body is not null")
 
@@ -361,22 +385,87 @@ def candidates(bodies: DataFrame, salt_rows: int = 2000) -> DataFrame:
     return a.join(b, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= MAX_HAMMING)).select("a", "b").distinct()
 
 
-def shingle_candidates(bodies: DataFrame, salt_rows: int = 2000) -> DataFrame:
-    """Pairs (a, b), a < b, among which are all of SIMILARITY or more, by a prefix-filtered join on shingles.
+def _in_parts(bodies: DataFrame, parts: int) -> DataFrame:
+    """(p, ids, ns, many, heads): the heads of the bodies by part of the hash, packed: of each body its id, its number of shingles, how many heads it has here, and those heads."""
 
-    bodies: (rep, n, heads). Shingles are ordered by how often their part of the hash
-    is used in a sample, then by hash; any order finds every pair, a rarest-first one
-    few others. A shingle of more than salt_rows prefixes is joined in blocks of that size.
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            held = [np.frombuffer(x, dtype=np.uint8).reshape(-1, HEAD_BYTES) for x in f["heads"]]
+            count = np.array([len(x) for x in held], dtype=np.int64)
+            if not count.sum():
+                continue
+            heads = np.concatenate(held)
+            part = (_widened(heads) % np.uint64(parts)).astype(np.int64)
+            owner = np.repeat(np.arange(len(f)), count)
+            order = np.argsort(part, kind="stable")
+            ids, ns = f["id"].to_numpy(np.int64), f["n"].to_numpy(np.int32)
+            which, first = np.unique(part[order], return_index=True)
+            out = []
+            for rows in np.split(order, first[1:]):
+                own, many = np.unique(owner[rows], return_counts=True)
+                out.append((ids[own].tobytes(), ns[own].tobytes(), many.astype(np.uint32).tobytes(), heads[rows].tobytes()))
+            yield pd.DataFrame(out, columns=["ids", "ns", "many", "heads"]).assign(p=which)[["p", "ids", "ns", "many", "heads"]]
+
+    return bodies.select(F.xxhash64("body").alias("id"), "n", "heads").mapInPandas(packed, "p long, ids binary, ns binary, many binary, heads binary")
+
+
+def _widened(heads: np.ndarray) -> np.ndarray:
+    """Heads of HEAD_BYTES bytes as numbers."""
+    out = np.zeros((len(heads), 8), dtype=np.uint8)
+    out[:, :HEAD_BYTES] = heads
+    return out.view(np.uint64).ravel()
+
+
+def _paired(f: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """Pairs of bodies of one part that share heads, with how many; a head of more than most bodies comes out with its bodies instead, one by one."""
+    take = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in f[c]])
+    many = take("many", np.uint32).astype(np.int64)
+    ids, ns = np.repeat(take("ids", np.int64), many), np.repeat(take("ns", np.int32), many)
+    heads = _widened(take("heads", np.uint8).reshape(-1, HEAD_BYTES))
+    order = np.lexsort((ids, heads))
+    ids, ns, heads = ids[order], ns[order], heads[order]
+    first = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+    size = np.diff(np.append(first, len(heads)))
+    for start, m in zip(first[size > most], size[size > most], strict=True):
+        yield pd.DataFrame({"a": ids[start : start + m], "b": 0, "na": ns[start : start + m], "nb": 0, "common": 0, "head": heads[start].astype(np.int64)})
+    for m in np.unique(size[(size > 1) & (size <= most)]):
+        i, j = np.triu_indices(m, 1)
+        starts = first[size == m]
+        step = max(1, 500_000 // len(i))
+        for at in range(0, len(starts), step):
+            x, y = (starts[at : at + step, None] + i).ravel(), (starts[at : at + step, None] + j).ravel()
+            fits = (np.minimum(ns[x], ns[y]) >= SIMILARITY * np.maximum(ns[x], ns[y]) - 1e-6) & (ids[x] != ids[y])
+            x, y = x[fits], y[fits]
+            met = pd.DataFrame({"a": ids[x], "b": ids[y], "na": ns[x], "nb": ns[y]}).groupby(["a", "b", "na", "nb"], as_index=False).size()
+            yield met.rename(columns={"size": "common"}).assign(head=0)
+
+
+def shingle_candidates(bodies: DataFrame, salt_rows: int = 2000, per_part: int = 8192) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives among which are all of SIMILARITY or more, by a prefix-filtered join on shingles.
+
+    bodies: (rep, body, n, heads). Shingles are ordered by how often their part of the hash is used in a sample, then by
+    hash; any order finds every pair, a rarest-first one few others. The heads travel packed, in parts whose number grows
+    with the bodies, and are joined there; one of more than salt_rows bodies is joined in blocks of that size.
     """
-    heads = bodies.select("rep", "n", F.posexplode("heads").alias("at", "shingle")).select("rep", "n", (F.col("n") - F.col("at")).alias("left"), "shingle")
-    sizes = heads.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle", F.ceil(F.col("m") / salt_rows).cast("int").alias("salts"))
-    full = stage(heads.join(sizes, "shingle"), "residue-heads")
-    a = full.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"))
-    b = full.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    sizes_fit = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-6
-    met = a.join(b, ["shingle", "salt"]).where((F.col("a") < F.col("b")) & sizes_fit).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max(F.least("la", "lb")).alias("left"))
-    enough = F.col("left") * (1 + SIMILARITY) >= SIMILARITY * (F.col("na") + F.col("nb")) - 1e-6  # shingles of both from the first common one on
-    return met.where(enough & (F.col("common") >= F.least(F.lit(COMMON), F.ceil(SIMILARITY * F.greatest("na", "nb") - 1e-6)))).select("a", "b")
+    parts = max(1, math.ceil(bodies.count() / per_part))
+
+    def paired(f: pd.DataFrame) -> pd.DataFrame:
+        got = list(_paired(f, salt_rows))
+        return pd.concat(got, ignore_index=True) if got else pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("a", "b", "na", "nb", "common", "head")})
+
+    met = stage(_in_parts(bodies, parts).groupBy("p").applyInPandas(paired, "a long, b long, na int, nb int, common int, head long"), "residue-met")
+    hot = met.where("common = 0").select("a", "na", "head")
+    sizes = hot.groupBy("head").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    hot = hot.join(sizes, "head")
+    x = hot.select("head", "a", "na", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    y = hot.select("head", F.col("a").alias("b"), F.col("na").alias("nb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    fits = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-6
+    more = x.join(y, ["head", "salt"]).where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb", F.lit(1).alias("common"))
+    every = met.where("common > 0").select("a", "b", "na", "nb", "common").unionByName(more).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    enough = every.where(F.col("common") >= F.least(F.lit(COMMON), F.ceil(SIMILARITY * F.greatest("na", "nb") - 1e-6))).select("a", "b")
+    names = bodies.select(F.xxhash64("body").alias("id"), "rep")
+    named = enough.join(names.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
+    return named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:

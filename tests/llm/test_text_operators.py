@@ -181,9 +181,10 @@ def test_residue_links_all_pairs_of_the_similarity(spark):
     far = {(a, b) for a, b in want if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() > residue.MAX_HAMMING}
     assert len(far) > 5
     used = np.bincount(np.concatenate([v.view(np.int64) & 1023 for v in sets.values()]), minlength=1024)
-    df = spark.createDataFrame([(k, len(v), residue.prefix(v.view(np.int64), used).tolist()) for k, v in sets.items()], "rep long, n int, heads array<long>")
+    packed = lambda v: residue.prefix(v.view(np.int64), used).view(np.uint8).reshape(-1, 8)[:, : residue.HEAD_BYTES].tobytes()
+    df = spark.createDataFrame([(k, str(k), len(v), bytearray(packed(v))) for k, v in sets.items()], "rep long, body string, n int, heads binary")
     for salt_rows in (2, 2000):
-        assert want <= {tuple(r) for r in residue.shingle_candidates(df, salt_rows).collect()}
+        assert want <= {tuple(r) for r in residue.shingle_candidates(df, salt_rows, 30).collect()}
 
 
 def test_label_reaches_a_variant_many_bits_away(spark):

@@ -27,14 +27,22 @@ def era_sql(c: str) -> str:
     return _ERA_SQL.replace("{0}", c)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+def registrar(queries: dict[str, Query], texts: dict[str, str]) -> Callable[..., Callable[[Query], Query]]:
+    """A decorator that enters a query, and the SQL that gives the same rows, under its name."""
+
+    def query(sql: str | None = None) -> Callable[[Query], Query]:
+        def add(fn: Query) -> Query:
+            queries[fn.__name__] = fn
+            if sql:
+                texts[fn.__name__] = sql
+            return fn
+
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, SQL)
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import blank_to_null
+from tessella.session import stage
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -68,3 +69,12 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "n") -> DataFrame:
     """Rows numbered from 1 within each key, in a total order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def dense_numbers(df: DataFrame, order: Column, name: str = "n") -> DataFrame:
+    """df with numbers from 1 on over all rows in a total order, in parallel: rows are sorted across tasks, each task counts its own and begins where those before it end."""
+    placed = stage(df.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbers")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row per task
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_at", "_before")

@@ -1,6 +1,6 @@
 """Matching works to catalogue items that share no key.
 
-Candidates come from MinHash buckets over title shingles; each pair gets features
+Candidates come from MinHash buckets over title shingles and over author and time; each pair gets features
 from title, dynasty, years and authors; a logistic classifier is trained on weak
 labels (votes of rules on pairs rich in evidence, with attributes hidden at
 random, so that it learns to do without them) and calibrated on held-out pairs.
@@ -18,7 +18,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.llm.names import ERA_YEARS, Forms, era, han_tables, relation, years
 from tessella.session import stage
@@ -36,8 +35,10 @@ ENGLISH_GENRES = {
 HASHES = 24  # of one-row bands: a pair sharing a fifth of its shingles is found with probability 0.995
 TRAINING_PAIRS = 20_000  # the bound of the labelled sample that reaches the driver
 NEAR = 3  # years by which sources differ
-FEATURES = ("exact", "gap", "replaced", "odd", "genre", "era_same", "era_other", "year_in", "year_out", "life_in", "life_out", "author_same", "author_like", "author_family", "author_other", "authors_era")
-GROUPS = {"era": (5, 6), "year": (7, 8, 9, 10), "author": (11, 12, 13, 14), "authors_era": (15,)}
+AUTHOR_BANDS, AUTHOR_ROWS = 12, 2  # over the tokens of author and time
+RELATED = "續续後后補补外別别前新增廣广"  # an added character that makes another book of a title
+FEATURES = ("exact", "gap", "replaced", "odd", "genre", "edits", "dropped", "era_same", "era_other", "year_in", "year_out", "life_in", "life_out", "author_same", "author_like", "author_family", "author_other", "authors_era", "rival")
+GROUPS = {"era": (7, 8), "year": (9, 10, 11, 12), "author": (13, 14, 15, 16), "authors_era": (17,)}
 
 
 class Titles:
@@ -120,20 +121,46 @@ def minhashes(shingles: list[str], n: int = HASHES) -> list[int]:
     return out
 
 
+def _edits(a: str, b: str) -> list[tuple[int, int, str]]:
+    """(place in a, place in b, kind) of the differences of a cheapest alignment; kind: replaced, added or dropped."""
+    n, m = len(a), len(b)
+    cost = np.zeros((n + 1, m + 1), dtype=int)
+    cost[:, 0], cost[0] = range(n + 1), range(m + 1)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            if a[i] != b[j]:
+                out.append((i, j, "replaced"))
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i -= 1
+            out.append((i, j, "dropped"))
+        else:
+            j -= 1
+            out.append((i, j, "added"))
+    return out
+
+
 def title_relation(a: str, b: str, split: Titles, odd: frozenset[str] | set[str]) -> list[float] | None:
-    """(exact, gap, replaced, odd, genre) of two titles, or None where they are not variants of one."""
+    """(exact, gap, replaced, odd, genre, edits, dropped) of two titles, or None where nothing speaks for their being variants of one.
+
+    At most a third of the longer title may differ; the kind of book and whether a character that makes another book of it
+    was added are features, for the classifier to weigh.
+    """
     if a == b:
-        return [1.0, 0.0, 0.0, 0.0, 1.0]
-    if len(a) != len(b) or len(a) < 3:
+        return [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    found = _edits(a, b)
+    if 3 * len(found) > max(len(a), len(b)):
         return None
-    at = [i for i in range(len(a)) if a[i] != b[i]]
-    if "□" in a or "□" in b:
-        return [0.0, 1.0, 0.0, 0.0, 1.0] if all("□" in (a[i], b[i]) for i in at) and len(at) == 1 else None
-    (na, ga), (_, gb) = split.split(a), split.split(b)
-    if len(at) != 1 or ga != gb or at[0] >= len(na):
-        return None  # another kind of book on the same name
-    i = at[0]
-    return [0.0, 0.0, 1.0, float(a[i] in odd or b[i] in odd), 1.0]
+    (na, ga), (nb, gb) = split.split(a), split.split(b)
+    gaps = [k == "replaced" and "□" in (a[i], b[j]) for i, j, k in found]
+    changed = {a[i] for i, _, k in found if k != "added"} | {b[j] for _, j, k in found if k != "dropped"}
+    moved = [k != "replaced" for _, _, k in found]
+    kind = all(gaps) or (ga == gb and not any(x and (a[i] if k == "dropped" else b[j]) in RELATED for x, (i, j, k) in zip(moved, found, strict=True)) and all(i < len(na) or k == "added" for i, _, k in found))
+    return [0.0, float(len(found) == 1 and all(gaps)), float(not all(gaps)), float(bool(changed & set(odd))), float(kind), len(found) - 1.0, float(any(moved))]
 
 
 def _span(born: int | None, died: int | None) -> tuple[int, int] | None:
@@ -185,11 +212,13 @@ class Evidence:
 
 def weak_label(x: np.ndarray) -> int:
     """1, 0, or -1 for no label, by votes on a pair's features."""
-    exact, gap, _, _, _, era_same, era_other, year_in, year_out, life_in, life_out, same, like, family, other, _ = x
-    if era_other or year_out:
+    exact, gap, _, _, genre, _, _, era_same, era_other, year_in, year_out, life_in, life_out, same, like, family, other, _, rival = x
+    if era_other or year_out or not genre or rival:
         return 0
     if life_out and other and not exact:
         return 0
+    if other and not (era_same or year_in or life_in or same):
+        return 0
     votes = exact + gap + era_same + year_in + life_in + same
     if votes >= 3 and not other and not life_out:
         return 1
@@ -218,24 +247,23 @@ class Classifier:
 
     @classmethod
     def train(cls, x: np.ndarray, y: np.ndarray, seed: int = 7, hide: float = 0.35) -> Classifier:
-        """Fitted on rows of FEATURES with attributes hidden at random; every fourth row calibrates."""
+        """Fitted on three quarters of the rows of FEATURES, each also with attributes hidden at random; the other quarter, as it is, calibrates."""
         rng = np.random.default_rng(seed)
-        copies, labels = [x], [y]
+        held = rng.permutation(len(x)) % 4 == 3
+        copies, labels = [x[~held]], [y[~held]]
         for _ in range(2):
-            z = x.copy()
+            z = x[~held].copy()
             for columns in GROUPS.values():
                 gone = rng.random(len(z)) < hide
                 for c in columns:
                     z[gone, c] = 0
             copies.append(z)
-            labels.append(y)
-        xs, ys = np.concatenate(copies), np.concatenate(labels)
-        xs = np.hstack([xs, np.ones((len(xs), 1))])
-        held = np.arange(len(xs)) % 4 == 3
-        model = cls(cls._fit(xs[~held], ys[~held], 1.0))
-        if held.sum() > 20 and len(set(ys[held])) == 2:
-            score = xs[held] @ model.weights
-            a, b = cls._fit(np.stack([score, np.ones(held.sum())], axis=1), ys[held], 0.01)
+            labels.append(y[~held])
+        wide = lambda v: np.hstack([v, np.ones((len(v), 1))])
+        model = cls(cls._fit(wide(np.concatenate(copies)), np.concatenate(labels), 1.0))
+        if held.sum() > 20 and len(set(y[held])) == 2:
+            score = wide(x[held]) @ model.weights
+            a, b = cls._fit(np.stack([score, np.ones(held.sum())], axis=1), y[held], 0.01)
             model.scale = (float(a), float(b))
         return model
 
@@ -245,7 +273,7 @@ class Classifier:
 
 
 #: Where too few pairs have a weak label to train on: weights of FEATURES and the constant.
-PRIOR = np.array([3.0, 1.0, -2.0, 2.0, 0.0, 2.0, -6.0, 3.0, -6.0, 2.0, -2.0, 3.0, 1.5, 0.5, -1.0, 1.0, -1.5])
+PRIOR = np.array([3.0, 1.0, -2.0, 2.0, 5.0, -2.0, -2.0, 2.0, -6.0, 3.0, -6.0, 2.0, -2.0, 3.0, 1.5, 0.5, -1.0, 1.0, -5.0, -6.5])
 
 
 def _buckets(titles: DataFrame, simple: object) -> DataFrame:
@@ -258,15 +286,26 @@ def _buckets(titles: DataFrame, simple: object) -> DataFrame:
     return titles.select("t", F.explode(hashed("t")).alias("bucket"))
 
 
-def _title_pairs(works: DataFrame, items: DataFrame, simple: object, salt_rows: int = 2000) -> DataFrame:
-    """(t, label, v) of the titles and labels that may be one title, v the first of FEATURES."""
-    left, right = _buckets(works.select("t").distinct(), simple), _buckets(items.select(F.col("label").alias("t")).distinct(), simple).withColumnRenamed("t", "label")
+def _met(left: DataFrame, right: DataFrame, a: str, b: str, salt_rows: int) -> DataFrame:
+    """Distinct (a, b) of rows that share a bucket; a bucket of more than salt_rows rows of the left is joined in blocks of that size."""
     sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
-    a = left.join(sizes, "bucket").select("bucket", "t", F.pmod(F.xxhash64("t"), F.col("salts")).cast("int").alias("salt"))
-    b = right.join(sizes, "bucket").select("bucket", "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    # a title and its variant are of one length and differ in one place, so one of their halves agrees
-    fits = (F.length("t") == F.length("label")) & (F.levenshtein("t", "label", 1) >= 0)
-    found = a.join(b, ["bucket", "salt"]).where(fits).select("t", "label").distinct()
+    x = left.join(sizes, "bucket").select("bucket", a, F.pmod(F.xxhash64(a), F.col("salts")).cast("int").alias("salt"))
+    y = right.join(sizes, "bucket").select("bucket", b, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    most = F.floor(F.greatest(F.length(a), F.length(b)) / 3).cast("int")  # of what may differ, see title_relation
+    fits = (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return x.join(y, ["bucket", "salt"]).where(fits).select(a, b).distinct()
+
+
+def _title_pairs(works: DataFrame, items: DataFrame, authors: DataFrame, simple: object, salt_rows: int = 2000) -> DataFrame:
+    """(t, label, v) of the titles and labels that may be one title, v the first of FEATURES.
+
+    Candidates share a MinHash bucket of the title's shingles, or one of the tokens of author and time (authors: side, title,
+    bucket), which finds titles that have little in common.
+    """
+    left, right = _buckets(works.select("t").distinct(), simple), _buckets(items.select(F.col("label").alias("t")).distinct(), simple).withColumnRenamed("t", "label")
+    found = _met(left, right, "t", "label", salt_rows)
+    people = _met(authors.where("side = 'w'").select(F.col("title").alias("t"), "bucket").distinct(), authors.where("side = 'i'").select(F.col("title").alias("label"), "bucket").distinct(), "t", "label", salt_rows)
+    found = found.unionByName(people).distinct()
     # how many distinct titles use a character: one of few uses is likelier a slip than a name
     chars = works.select("t").unionByName(items.select(F.col("label").alias("t"))).distinct().select(F.explode(F.array_distinct(F.split("t", ""))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     rare = found.where("t <> label").select("t", "label", F.explode(F.array_distinct(F.concat(F.array_except(F.split("t", ""), F.split("label", "")), F.array_except(F.split("label", ""), F.split("t", ""))))).alias("c"))
@@ -281,6 +320,45 @@ def _title_pairs(works: DataFrame, items: DataFrame, simple: object, salt_rows:
     return found.join(odd, ["t", "label"], "left").select("t", "label", related("t", "label", "odd").alias("v")).where("v is not null")
 
 
+def _author_buckets(w: DataFrame, i: DataFrame, tables: object) -> DataFrame:
+    """(side, title, bucket): MinHash bands over what is told of author and time, of works ('w') by their title and of items ('i') by each label."""
+
+    def banded(tokens: list[str]) -> list[int]:
+        if not tokens:
+            return []
+        h = minhashes(tokens, AUTHOR_BANDS * AUTHOR_ROWS)
+        return sorted({xxhash.xxh64_intdigest(np.array([n, *h[n * AUTHOR_ROWS : (n + 1) * AUTHOR_ROWS]], dtype=np.int64).tobytes()) - (1 << 63) for n in range(AUTHOR_BANDS)})
+
+    def told(find: Evidence, name: str | None, when: str | None, year: float | None) -> list[str]:
+        forms = find.forms(name)[1] if name else []
+        tokens = {f"{k}:{f}" for k, f in forms} | {f"c:{c}" for k, f in forms if k == "han" for c in f[1:]}
+        return sorted(tokens | ({"e:" + when} if when else set()) | ({f"d:{int(year) // 10}"} if year is not None and year == year else set())) if tokens else []
+
+    @F.pandas_udf("array<long>")
+    def of_works(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        find = Evidence(*tables.value)  # type: ignore[attr-defined]
+        for names, dynasty, first in batches:
+            out = []
+            for people, e, y in zip(names, dynasty, first, strict=True):
+                year = float(y) if y and re.fullmatch(r"-?\d{1,4}", y) else None
+                out.append(sorted({b for n in (people if people is not None else ()) for b in banded(told(find, n, era(e), year))}))
+            yield pd.Series(out, dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def of_items(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        find = Evidence(*tables.value)  # type: ignore[attr-defined]
+        for text, dynasty, start in batches:
+            out = []
+            for t, e, y in zip(text, dynasty, start, strict=True):
+                author, _, told_era, told_year = find.titles.described(t)
+                out.append(banded(told(find, author, era(e) or told_era, y if y == y and y is not None else told_year)))
+            yield pd.Series(out, dtype=object)
+
+    a = w.select(F.lit("w").alias("side"), F.col("t").alias("title"), F.explode(of_works(F.transform("authorship", lambda x: x["person_name"]), "time_dynasty", "date_not_before")).alias("bucket"))
+    b = i.select(F.lit("i").alias("side"), "labels", F.explode(of_items("description", "dynasty_label", "start_year")).alias("bucket")).select("side", F.explode("labels").alias("title"), "bucket")
+    return stage(a.unionByName(b).distinct(), "entities-authors")
+
+
 def features(works: DataFrame, items: DataFrame) -> DataFrame:
     """(kr_id, qid, x) of every candidate pair, x by FEATURES; of several titles of an item the closest counts."""
     spark = works.sparkSession
@@ -302,7 +380,7 @@ def features(works: DataFrame, items: DataFrame) -> DataFrame:
     w = stage(works.withColumn("t", normal(F.coalesce("title", F.lit("")))).where("length(t) >= 2"), "entities-works")
     i = stage(items.withColumn("labels", labelled("wikidata_title", "aliases", "description")), "entities-items")
     labels = i.select("qid", F.explode("labels").alias("label"))
-    near = stage(_title_pairs(w, labels, simple), "entities-titles")
+    near = stage(_title_pairs(w, labels, _author_buckets(w, i, tables), simple), "entities-titles")
 
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
@@ -312,14 +390,13 @@ def features(works: DataFrame, items: DataFrame) -> DataFrame:
 
     best = near.join(labels, "label").join(w.select("kr_id", "t"), "t").groupBy("kr_id", "qid").agg(F.max("v").alias("v"))
     full = best.join(w, "kr_id").join(i, "qid")
-    return full.select(
-        "kr_id",
-        "qid",
-        F.concat(
-            "v",
-            evidence(F.struct("time_dynasty", "date_not_before", "date_not_after", "author_dates", "authorship"), F.struct("dynasty_label", "start_year", "end_year", "description")),
-        ).alias("x"),
-    )
+    x = full.select("kr_id", "qid", F.concat("v", evidence(F.struct("time_dynasty", "date_not_before", "date_not_after", "author_dates", "authorship"), F.struct("dynasty_label", "start_year", "end_year", "description"))).alias("x"))
+    # a pair that nothing but its title speaks for has a rival where time or author speak for another pair of the item
+    speaks = sum((F.col("x")[FEATURES.index(n)] for n in ("era_same", "year_in", "life_in", "author_same")), F.lit(0.0)) > 0
+    x = stage(x.withColumn("speaks", speaks & (F.col("x")[FEATURES.index("genre")] > 0)), "entities-evidence")
+    spoken = x.where("speaks").select("qid").distinct().withColumn("any", F.lit(True))
+    rival = F.when(F.coalesce("any", F.lit(False)) & ~F.col("speaks"), 1.0).otherwise(0.0)
+    return x.join(spoken, "qid", "left").select("kr_id", "qid", F.concat("x", F.array(rival)).alias("x"))
 
 
 def trained(pairs: DataFrame) -> Classifier:
@@ -348,8 +425,7 @@ def matched(works: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame
 
     works: (kr_id, title, time_dynasty, date_not_before, date_not_after,
     author_dates, authorship); items: (qid, wikidata_title, aliases, dynasty_label,
-    start_year, end_year, description). A work that nothing but its title speaks
-    for yields to one of the same title that time or author speaks for. Keys or
+    start_year, end_year, description). Keys or
     titles that are null match nothing; rows delivered again count once; further
     columns are ignored; empty tables give no pair.
     """
@@ -357,7 +433,4 @@ def matched(works: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame
     i = items.where("qid is not null").dropDuplicates(["qid"]).select("qid", "wikidata_title", "aliases", "dynasty_label", F.col("start_year").cast("double"), F.col("end_year").cast("double"), "description")
     pairs = stage(features(w, i), "entities-features")
     model = trained(pairs)
-    x = lambda name: F.col("x")[FEATURES.index(name)]
-    speaks = (x("era_same") + x("year_in") + x("life_in") + x("author_same")) > 0
-    scored = pairs.select("kr_id", "qid", _scored(F.col("x"), model).alias("confidence"), speaks.alias("speaks")).where(F.col("confidence") >= least)
-    return scored.withColumn("any", F.max("speaks").over(Window.partitionBy("qid"))).where("speaks or not any").select("kr_id", "qid", "confidence")
+    return pairs.select("kr_id", "qid", _scored(F.col("x"), model).alias("confidence")).where(F.col("confidence") >= least)

@@ -46,7 +46,7 @@ def test_no_records(spark):
 def test_prefix_filter_finds_what_brute_force_finds(spark):
     rng = random.Random(3)
     forms = sorted({"".join(rng.choice("甲乙丙丁戊己庚") for _ in range(rng.randint(2, 4))) for _ in range(60)})
-    df = spark.createDataFrame([(f, "han", f, names.tokens("han", f)) for f in forms], "form_id string, kind string, form string, tokens array<string>")
+    df = spark.createDataFrame([(f, "han", f, False, names.tokens("han", f)) for f in forms], "form_id string, kind string, form string, typed boolean, tokens array<string>")
     got = {(r.fa, r.fb) for r in names.similar_forms(df, salt_rows=5).collect()}
     brute = set()
     for i, a in enumerate(forms):
@@ -166,3 +166,24 @@ def test_token_counts(spark):
     got = {r.k: r.tokens for r in tokens.sizes(df, "t", ["k"]).collect()}
     n = tokens.counter(tokens.TOKENIZER)
     assert got == {1: n("Hello world"), 2: 0, 3: 0, 4: n("甲" * 2000)}
+
+
+def test_slips_in_readings_and_organisations(spark):
+    forms = [("sound", "li|wangshi", True), ("sound", "li|wanshi", False), ("sound", "li|wnagshi", False), ("sound", "li|wengsha", False), ("sound", "linyuan|zhou", True), ("sound", "linyuan|zhao", True), ("org", "甲乙丙丁戊|院", False), ("org", "甲乙丙戊|院", False), ("org", "甲乙|院", False), ("org", "甲丙|院", False)]
+    df = spark.createDataFrame([(f, k, f, typed, names.tokens(k, f)) for k, f, typed in forms], "form_id string, kind string, form string, typed boolean, tokens array<string>")
+    got = {(r.fa, r.fb): r.strength for r in names.similar_forms(df).collect()}
+    assert got == {("li|wangshi", "li|wanshi"): 1, ("li|wangshi", "li|wnagshi"): 1, ("linyuan|zhao", "linyuan|zhou"): 1, ("甲乙丙丁戊|院", "甲乙丙戊|院"): 1}
+
+
+def test_one_form_of_many_records_is_brought_together_once(spark):
+    many = [(i, "李公麟" if i % 2 else "李 公麟", "宋", "1049-1106", "", "", None) for i in range(400)]
+    assert len(set(linked(spark, many).values())) == 1
+
+
+def test_title_variants_are_weighed_not_gated():
+    split = entities.Titles({})
+    names_ = dict(zip(entities.FEATURES, entities.title_relation("甲乙丙集", "甲乙丙丁集", split, set()), strict=False))
+    assert names_["dropped"] == 1 and names_["genre"] == 1 and names_["edits"] == 0
+    assert dict(zip(entities.FEATURES, entities.title_relation("甲乙丙集", "續甲乙丙集", split, set()), strict=False))["genre"] == 0
+    assert dict(zip(entities.FEATURES, entities.title_relation("甲乙丙集", "甲乙丙注", split, set()), strict=False))["genre"] == 0
+    assert entities.title_relation("甲乙丙集", "丁戊己集", split, set()) is None

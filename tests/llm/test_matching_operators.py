@@ -169,10 +169,10 @@ def test_token_counts(spark):
 
 
 def test_slips_in_readings_and_organisations(spark):
-    forms = [("sound", "li|wangshi", True), ("sound", "li|wanshi", False), ("sound", "li|wnagshi", False), ("sound", "li|wengsha", False), ("sound", "linyuan|zhou", True), ("sound", "linyuan|zhao", True), ("org", "甲乙丙丁戊|院", False), ("org", "甲乙丙戊|院", False), ("org", "甲乙|院", False), ("org", "甲丙|院", False)]
+    forms = [("sound", "li|wangshi", True), ("sound", "li|wanshi", False), ("sound", "li|wnagshi", False), ("sound", "li|wengsha", False), ("sound", "linyuan|zhou", True), ("sound", "linyuan|zhoo", True), ("org", "甲乙丙丁戊|院", False), ("org", "甲乙丙戊|院", False), ("org", "甲乙|院", False), ("org", "甲丙|院", False)]
     df = spark.createDataFrame([(f, k, f, typed, names.tokens(k, f)) for k, f, typed in forms], "form_id string, kind string, form string, typed boolean, tokens array<string>")
     got = {(r.fa, r.fb): r.strength for r in names.similar_forms(df).collect()}
-    assert got == {("li|wangshi", "li|wanshi"): 1, ("li|wangshi", "li|wnagshi"): 1, ("linyuan|zhao", "linyuan|zhou"): 1, ("甲乙丙丁戊|院", "甲乙丙戊|院"): 1}
+    assert got == {("li|wangshi", "li|wanshi"): 1, ("li|wangshi", "li|wnagshi"): 1, ("linyuan|zhoo", "linyuan|zhou"): 1, ("甲乙丙丁戊|院", "甲乙丙戊|院"): 1}
 
 
 def test_one_form_of_many_records_is_brought_together_once(spark):

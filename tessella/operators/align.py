@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 ANCHORS = (12, 8, 5)
 EXACT_CELLS = 4_000_000
+HOPELESS = 20_000  # characters on both sides without one anchor
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -49,15 +50,17 @@ def common_runs(a: str, b: str) -> list[tuple[int, int, int]]:
     once on each side, along the longest increasing chain, and extended.
     """
     out: list[tuple[int, int, int]] = []
+
+    def exact(a0: int, a1: int, b0: int, b1: int) -> None:
+        out.extend((a0 + m.a, b0 + m.b, m.size) for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks() if m.size)
+
     work = [(0, len(a), 0, len(b))]
     while work:
         a0, a1, b0, b1 = work.pop()
         if a0 >= a1 or b0 >= b1:
             continue
         if (a1 - a0) * (b1 - b0) <= EXACT_CELLS:
-            for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks():
-                if m.size:
-                    out.append((a0 + m.a, b0 + m.b, m.size))
+            exact(a0, a1, b0, b1)
             continue
         chain: list[tuple[int, int]] = []
         for k in ANCHORS:
@@ -66,7 +69,9 @@ def common_runs(a: str, b: str) -> list[tuple[int, int, int]]:
             if chain:
                 break
         if not chain:
-            continue  # nothing in common that is not repeated
+            if min(a1 - a0, b1 - b0) <= HOPELESS:  # all that is common repeats: the exact comparison settles it
+                exact(a0, a1, b0, b1)
+            continue
         pa, pb = a0, b0
         for i, j in chain:
             if i < pa or j < pb:
@@ -110,10 +115,14 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Twice the matched characters over all characters."""
-    both = F.length(a) + F.length(b)
-    covered = F.aggregate(matching_blocks(a, b), F.lit(0), lambda s, m: s + m["size"])
-    return F.when(both > 0, 2 * covered / both).otherwise(1.0)
+    """The standard matcher's ratio of two texts, frequent characters of a long second one left out of account; null if either is null."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([None if s is None or t is None else SequenceMatcher(None, s, t).ratio() for s, t in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
 
 
 def align_units(ref: DataFrame, src: DataFrame, rid: str, rkey: str, sid: str, skey: str, least: float = 0.85, top: int = 25) -> DataFrame:

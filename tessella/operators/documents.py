@@ -24,7 +24,10 @@ OPENERS = "「『“‘（(【《〈"
 
 
 def _mapped(kind: str, fn: Callable, *cols: Column) -> Column:
-    """fn over columns by Arrow batches; null where the first column is null."""
+    """fn over columns by Arrow batches; null where the first column is null, and, for a struct, where fn gives None."""
+    if kind.startswith("struct<"):
+        several = lambda *v: None if (x := fn(*v)) is None else [x]
+        return F.get(_mapped(f"array<{kind}>", several, *cols), F.lit(0))
     if len(cols) == 1:
 
         @F.pandas_udf(kind)

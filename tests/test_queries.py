@@ -78,3 +78,23 @@ def test_scans_read_only_what_is_needed(spark, name, unread):
     for column in unread:
         assert not any(f"{column}:" in f",{r}".replace(",", ", ").split() for r in read), column
         assert not any(f",{column}:" in f",{r}" for r in read), column
+
+
+def test_entry_survives_without_the_packages_of_llm():
+    """A child process in which a package that only llm needs can't be imported still lists the core queries."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['xxhash'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert 'work_entries' in q and 'p2_found' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tessella.session import shared_dir
+
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake())

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.session import stage
 
@@ -59,3 +60,59 @@ def ranked_search(df: DataFrame, query: str, columns: Sequence[str], rank: Seque
     for i in range(len(rank) - 1, -1, -1):
         place = F.when(rank[i], F.lit(i)).otherwise(place)
     return found.withColumn("rank", place).orderBy("rank", *order).limit(limit)
+
+
+def fuzzy_labels(subjects: DataFrame, labels: DataFrame, threshold: float = 0.78, shortlist: int = 32, results: int = 5, shortest: float = 0.35, longest: float = 2.85) -> DataFrame:
+    """(subject, target, score, rank) of the targets whose label is most like each subject's key.
+
+    subjects: (subject, key); labels: (target, label). Candidates share a bigram and are of a fitting length; of a target
+    the label of greatest Jaccard similarity counts; the shortlist of them by that similarity is compared by the standard
+    matcher, and the results are the best at or above the threshold, ties by target. A key without a bigram, or one that
+    shares none, has no candidate and gives no row.
+    """
+    from tessella.functions.text import grams
+    from tessella.operators.align import sequence_ratio
+
+    a = subjects.where("length(key) >= 2").select("subject", "key", F.size(grams(F.col("key"), 2)).alias("na"), F.explode(grams(F.col("key"), 2)).alias("g"))
+    named = labels.where("length(label) >= 2").select("target", "label").distinct()
+    b = named.select("target", "label", F.size(grams(F.col("label"), 2)).alias("nb"), F.explode(grams(F.col("label"), 2)).alias("g"))
+    share = F.length("label") / F.length("key")
+    met = a.join(b, "g").where(share.between(shortest, longest)).groupBy("subject", "key", "target", "label", "na", "nb").agg(F.count("*").alias("n"))
+    alike = met.withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
+    best = alike.groupBy("subject", "key", "target").agg(F.max_by("label", F.struct("jaccard", "label")).alias("label"), F.max("jaccard").alias("jaccard"))
+    short = best.withColumn("place", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("jaccard"), "target"))).where(F.col("place") <= shortlist)
+    scored = short.select("subject", "target", sequence_ratio(F.col("key"), F.col("label")).alias("score")).where(F.col("score") >= threshold)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("score"), "target"))).where(F.col("rank") <= results)
+
+
+def matched_labels(subjects: DataFrame, labels: DataFrame, **fuzzy: float) -> DataFrame:
+    """(subject, target, score, method, best): exact matches, and the fuzzy ones that are none; best marks a subject's first, exact before fuzzy, then by score and target."""
+    exact = subjects.where("length(key) > 0").join(labels.select("target", F.col("label").alias("key")), "key").select("subject", "target").distinct().select("subject", "target", F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+    near = fuzzy_labels(subjects, labels, **fuzzy).join(exact.select("subject", "target"), ["subject", "target"], "left_anti").select("subject", "target", "score", F.lit("fuzzy").alias("method"))  # type: ignore[arg-type]
+    first = Window.partitionBy("subject").orderBy("method", F.desc("score"), "target")
+    return exact.unionByName(near).withColumn("best", F.row_number().over(first) == 1)
+
+
+def used_once(rows: DataFrame, offers: DataFrame, group: str, key: str, order: str) -> DataFrame:
+    """(key, target): within a group each offer goes to one row, rows served in their order.
+
+    rows: (group, key, order, role); offers: (group, target, role, place). A row takes the first offer left of its own role, else the first
+    left of any. A group is one work or page; its rows are brought together.
+    """
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[key], dict(offers.dtypes)["target"]
+
+    def serve(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        left = theirs.sort_values(["place", "target"]).to_dict("records")
+        out = []
+        for r in mine.sort_values([order, key]).to_dict("records"):
+            pick = next((o for o in left if o["role"] == r["role"]), left[0] if left else None)
+            if pick is not None:
+                left.remove(pick)
+                out.append((r[key], pick["target"]))
+        return pd.DataFrame(out, columns=[key, "target"])
+
+    mine = rows.select(F.col(group).alias("_g"), key, order, "role").groupBy("_g")
+    theirs = offers.select(F.col(group).alias("_h"), "target", F.col("role").alias("role"), F.col("place").alias("place")).groupBy("_h")
+    return mine.cogroup(theirs).applyInPandas(serve, f"{key} {kind[0]}, target {kind[1]}")

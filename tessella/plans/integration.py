@@ -477,3 +477,24 @@ def heading_slices(spark: SparkSession, d: str) -> DataFrame:
     p = islands.running(p, ["file"], order, F.when(F.col("is_heading") & ~F.coalesce("prev", F.lit(False)), 1).otherwise(0), "slice", "sum", part=part)
     heads = F.sort_array(F.collect_list(F.when(F.col("is_heading"), F.struct("para_idx", "para_id", "text"))))
     return p.groupBy("file", "slice").agg(F.min("para_id").alias("first_id"), F.count("*").alias("paragraphs"), F.array_join(F.transform(heads, lambda x: x["text"]), " — ").alias("title"))
+
+
+@query()
+def fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Items for each work by exact title or, with a score, by a like one; the first of each work is marked."""
+    w = C.works(spark, d).where("title is not null").select(F.col("kr_id").alias("subject"), T.title_key(F.col("title")).alias("key"))
+    l = C._labels(spark, d).select(F.col("qid").alias("target"), F.col("k").alias("label"))
+    return resolve.matched_labels(w, l).select(F.col("subject").alias("kr_id"), F.col("target").alias("qid"), F.round("score", 6).alias("score"), "method", "best")
+
+
+@query()
+def once_used_authors(spark: SparkSession, d: str) -> DataFrame:
+    """Persons known for the works of a title given to the records of those works that name none, each once, of the same kind of role first."""
+    from tessella.functions.names import role_bucket
+    from tessella.plans.scalars import EDITORS
+
+    a = C.works(spark, d).select("kr_id", "title", F.explode("authorship").alias("a")).select("kr_id", "title", "a.record_id", "a.author_index", "a.cbdb_id", role_bucket(F.col("a.function"), EDITORS).alias("role")).withColumn("order", F.expr("coalesce(try_cast(author_index as int), 999)"))
+    open_ = a.where("coalesce(cbdb_id, '') = ''")
+    known = a.where("coalesce(cbdb_id, '') <> '' and title <> ''").groupBy("title", F.col("cbdb_id").alias("target")).agg(F.min("role").alias("role"), F.min("order").alias("place"))
+    offers = open_.select("kr_id", "title").distinct().join(known, "title").select("kr_id", "target", "role", "place")
+    return resolve.used_once(open_, offers, "kr_id", "record_id", "order")

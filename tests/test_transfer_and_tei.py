@@ -118,3 +118,34 @@ def test_many_sections_in_time(spark):
     assert tei.attach_notes(parts, notes).count() == 6000
     assert time.time() - began < 30
     assert documents.parse_problem(parts.first().xml) is None
+
+
+def test_fuzzy_labels_match_brute_force(spark):
+    from tessella.operators import resolve
+
+    rng = random.Random(11)
+    keys = ["".join(rng.choice("甲乙丙丁戊己") for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    labels = [(i // 2, "".join(rng.choice("甲乙丙丁戊己") for _ in range(rng.randint(1, 6)))) for i in range(40)] + [(50, keys[3])]
+    got = resolve.fuzzy_labels(spark.createDataFrame(list(enumerate(keys)), "subject int, key string"), spark.createDataFrame(labels, "target int, label string"), threshold=0.5)
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    want = set()
+    for s, k in enumerate(keys):
+        best = {}
+        for t, l in labels:
+            a, b = grams(k), grams(l)
+            if a & b and 0.35 <= len(l) / len(k) <= 2.85:
+                best[t] = max(best.get(t, (0.0, "")), (len(a & b) / len(a | b), l))
+        short = sorted(best, key=lambda t: (-best[t][0], t))[:32]
+        scored = sorted((-SequenceMatcher(None, k, best[t][1]).ratio(), t) for t in short)
+        want |= {(s, t, round(-x, 6), n + 1) for n, (x, t) in enumerate([p for p in scored if -p[0] >= 0.5][:5])}
+    assert {(r.subject, r.target, round(r.score, 6), r["rank"]) for r in got.collect()} == want and want
+    exact = resolve.matched_labels(spark.createDataFrame([(3, keys[3]), (4, None)], "subject int, key string"), spark.createDataFrame(labels, "target int, label string"))
+    assert [(r.target, r.method) for r in exact.where("best").collect()] == [(50, "exact")] or len(keys[3]) < 2
+
+
+def test_offers_are_used_once(spark):
+    from tessella.operators import resolve
+
+    rows = spark.createDataFrame([("w", 1, 2, "author"), ("w", 2, 1, "editor"), ("w", 3, 3, "author"), ("v", 4, 1, "author")], "g string, k int, o int, role string")
+    offers = spark.createDataFrame([("w", "a", "author", 1), ("w", "e", "editor", 2), ("u", "x", "author", 1)], "g string, target string, role string, place int")
+    assert {tuple(r) for r in resolve.used_once(rows, offers, "g", "k", "o").collect()} == {(2, "e"), (1, "a")}

@@ -394,7 +394,8 @@ def features(works: DataFrame, items: DataFrame) -> DataFrame:
     # a pair that nothing but its title speaks for has a rival where time or author speak for another pair of the item
     speaks = sum((F.col("x")[FEATURES.index(n)] for n in ("era_same", "year_in", "life_in", "author_same")), F.lit(0.0)) > 0
     x = stage(x.withColumn("speaks", speaks & (F.col("x")[FEATURES.index("genre")] > 0)), "entities-evidence")
-    spoken = x.where("speaks").select("qid").distinct().withColumn("any", F.lit(True))
+    v = lambda n: F.col("x")[FEATURES.index(n)]
+    spoken = x.where(F.col("speaks") & (v("exact") + v("gap") > 0) & (v("era_other") + v("year_out") + v("life_out") == 0)).select("qid").distinct().withColumn("any", F.lit(True))
     rival = F.when(F.coalesce("any", F.lit(False)) & ~F.col("speaks"), 1.0).otherwise(0.0)
     return x.join(spoken, "qid", "left").select("kr_id", "qid", F.concat("x", F.array(rival)).alias("x"))
 

@@ -8,6 +8,7 @@ random, so that it learns to do without them) and calibrated on held-out pairs.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -287,13 +288,16 @@ def _buckets(titles: DataFrame, simple: object) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, a: str, b: str, salt_rows: int) -> DataFrame:
-    """Distinct (a, b) of rows that share a bucket; a bucket of more than salt_rows rows of the left is joined in blocks of that size."""
-    sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"))
+    """Distinct (a, b) of rows that share a bucket; a bucket of more than salt_rows rows of the left is joined in blocks of that size.
+
+    The buckets come from exploded arrays, whose rows the planner does not count: the hint keeps it from sending them through the driver.
+    """
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")).hint("merge")
     x = left.join(sizes, "bucket").select("bucket", a, F.pmod(F.xxhash64(a), F.col("salts")).cast("int").alias("salt"))
     y = right.join(sizes, "bucket").select("bucket", b, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     most = F.floor(F.greatest(F.length(a), F.length(b)) / 3).cast("int")  # of what may differ, see title_relation
     fits = (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
-    return x.join(y, ["bucket", "salt"]).where(fits).select(a, b).distinct()
+    return x.join(y.hint("merge"), ["bucket", "salt"]).where(fits).select(a, b).distinct()
 
 
 def _title_pairs(works: DataFrame, items: DataFrame, authors: DataFrame, simple: object, salt_rows: int = 2000) -> DataFrame:
@@ -309,7 +313,7 @@ def _title_pairs(works: DataFrame, items: DataFrame, authors: DataFrame, simple:
     # how many distinct titles use a character: one of few uses is likelier a slip than a name
     chars = works.select("t").unionByName(items.select(F.col("label").alias("t"))).distinct().select(F.explode(F.array_distinct(F.split("t", ""))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     rare = found.where("t <> label").select("t", "label", F.explode(F.array_distinct(F.concat(F.array_except(F.split("t", ""), F.split("label", "")), F.array_except(F.split("label", ""), F.split("t", ""))))).alias("c"))
-    odd = rare.join(chars, "c").where("n <= 2").groupBy("t", "label").agg(F.collect_set("c").alias("odd"))
+    odd = rare.join(F.broadcast(chars.where("n <= 2")), "c").groupBy("t", "label").agg(F.collect_set("c").alias("odd"))
 
     @F.pandas_udf("array<double>")
     def related(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -317,7 +321,7 @@ def _title_pairs(works: DataFrame, items: DataFrame, authors: DataFrame, simple:
         for t, label, odds in batches:
             yield pd.Series([title_relation(x, y, split, set(o) if o is not None else set()) for x, y, o in zip(t, label, odds, strict=True)])
 
-    return found.join(odd, ["t", "label"], "left").select("t", "label", related("t", "label", "odd").alias("v")).where("v is not null")
+    return found.join(odd.hint("merge"), ["t", "label"], "left").select("t", "label", related("t", "label", "odd").alias("v")).where("v is not null")
 
 
 def _author_buckets(w: DataFrame, i: DataFrame, tables: object) -> DataFrame:
@@ -388,8 +392,9 @@ def features(works: DataFrame, items: DataFrame) -> DataFrame:
         for ws, ims in batches:
             yield pd.Series([find(a, b) for a, b in zip(ws.to_dict("records"), ims.to_dict("records"), strict=True)])
 
-    best = near.join(labels, "label").join(w.select("kr_id", "t"), "t").groupBy("kr_id", "qid").agg(F.max("v").alias("v"))
-    full = best.join(w, "kr_id").join(i, "qid")
+    # tables that grow with the input; by the size of their compressed files the planner would broadcast some
+    best = near.join(labels.hint("merge"), "label").join(w.select("kr_id", "t").hint("merge"), "t").groupBy("kr_id", "qid").agg(F.max("v").alias("v"))
+    full = best.join(w.hint("merge"), "kr_id").join(i.hint("merge"), "qid")
     x = full.select("kr_id", "qid", F.concat("v", evidence(F.struct("time_dynasty", "date_not_before", "date_not_after", "author_dates", "authorship"), F.struct("dynasty_label", "start_year", "end_year", "description"))).alias("x"))
     # a pair that nothing but its title speaks for has a rival where time or author speak for another pair of the item
     speaks = sum((F.col("x")[FEATURES.index(n)] for n in ("era_same", "year_in", "life_in", "author_same")), F.lit(0.0)) > 0
@@ -397,12 +402,29 @@ def features(works: DataFrame, items: DataFrame) -> DataFrame:
     v = lambda n: F.col("x")[FEATURES.index(n)]
     spoken = x.where(F.col("speaks") & (v("exact") + v("gap") > 0) & (v("era_other") + v("year_out") + v("life_out") == 0)).select("qid").distinct().withColumn("any", F.lit(True))
     rival = F.when(F.coalesce("any", F.lit(False)) & ~F.col("speaks"), 1.0).otherwise(0.0)
-    return x.join(spoken, "qid", "left").select("kr_id", "qid", F.concat("x", F.array(rival)).alias("x"))
+    return x.join(spoken.hint("merge"), "qid", "left").select("kr_id", "qid", F.concat("x", F.array(rival)).alias("x"))
+
+
+def _sampled(pairs: DataFrame, n: int) -> pd.DataFrame:
+    """x of the n pairs of least hash.
+
+    A sort with a limit hands the driver n rows of every task; so rows are first cut at a hash below which a few more than n lie.
+    """
+    rows = pairs.select(F.xxhash64("kr_id", "qid").alias("h"), "kr_id", "qid", "x")
+    total = rows.count()
+    most = n + 10 * math.isqrt(n) + 100
+    while most < total:
+        near = rows.where(F.col("h") < (most << 64) // total - (1 << 63))
+        if near.count() >= n:
+            rows = near
+            break
+        most *= 2
+    return rows.orderBy("h", "kr_id", "qid").limit(n).select("x").toPandas()
 
 
 def trained(pairs: DataFrame) -> Classifier:
     """The classifier fitted on at most TRAINING_PAIRS pairs with a weak label, chosen by hash; PRIOR where fewer than 200 have one or all have the same."""
-    sample = pairs.orderBy(F.xxhash64("kr_id", "qid")).limit(TRAINING_PAIRS).select("x").toPandas()
+    sample = _sampled(pairs, TRAINING_PAIRS)
     if len(sample):
         x = np.array([list(v) for v in sample["x"]])
         y = np.array([weak_label(v) for v in x])

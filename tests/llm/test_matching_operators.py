@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import entities, mixing, names, packing, tokens
+from tessella.session import stage
 
 SCHEMA = "record long, name string, era_text string, dates string, first string, last string, id string, component string"
 
@@ -187,3 +189,35 @@ def test_title_variants_are_weighed_not_gated():
     assert dict(zip(entities.FEATURES, entities.title_relation("甲乙丙集", "續甲乙丙集", split, set()), strict=False))["genre"] == 0
     assert dict(zip(entities.FEATURES, entities.title_relation("甲乙丙集", "甲乙丙注", split, set()), strict=False))["genre"] == 0
     assert entities.title_relation("甲乙丙集", "丁戊己集", split, set()) is None
+
+
+def test_training_sample_reaches_the_driver_once(spark, monkeypatch):
+    """Not its full size from each of many tasks, and still the pairs of least hash."""
+    n, asked = 20_000, 500
+    monkeypatch.setattr(entities, "TRAINING_PAIRS", asked)
+    pairs = stage(spark.range(n).selectExpr("cast(id as string) kr_id", "cast(id * 7 as string) qid", "concat(array(cast(id as double)), array_repeat(0D, 18)) x").repartition(40))
+    hashes = pairs.select(F.xxhash64("kr_id", "qid").alias("h"), F.col("x")[0].alias("x0")).orderBy("h").limit(asked)
+    want = [r.x0 for r in hashes.collect()]
+    conf = spark.sparkContext._jsc.sc().conf()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    arrow = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+        conf.set("spark.driver.maxResultSize", "2m")
+        assert entities.trained(pairs).weights is entities.PRIOR
+        got = entities._sampled(pairs, asked)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", arrow)
+    assert [v[0] for v in got["x"]] == want
+    assert len(entities._sampled(pairs.limit(3), asked)) == 3 and len(entities._sampled(pairs.limit(0), asked)) == 0
+
+
+def test_candidates_are_never_broadcast(spark):
+    """The planner takes exploded buckets for small, whatever their number; sent through the driver they would fill its memory."""
+    rows = spark.range(5).selectExpr("cast(id as string) t", "id bucket")
+    plan = entities._met(rows, rows.withColumnRenamed("t", "label"), "t", "label", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -10,10 +10,13 @@ from tessella.functions.text import grams
 
 
 def shared_grams(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str, rtext: str, k: int = 2, least: int = 1) -> DataFrame:
-    """(lid, rid, shared) of rows that share distinct k-grams; an inverted-index join with partial counts."""
+    """(lid, rid, shared) of rows that share distinct k-grams; an inverted-index join with partial counts.
+
+    The planner takes a side for as small as the texts it explodes; the hint keeps the grams from being sent through the driver.
+    """
     a = left.select(F.col(lid), F.explode(grams(F.col(ltext), k, whole=True)).alias("g"))
     b = right.select(F.col(rid), F.explode(grams(F.col(rtext), k, whole=True)).alias("g"))
-    return a.join(b, "g").groupBy(lid, rid).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return a.join(b.hint("merge"), "g").groupBy(lid, rid).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def top_shared(left: DataFrame, right: DataFrame, lid: str, ltext: str, rid: str, rtext: str, k: int = 2, top: int = 25, ratio: float | None = None) -> DataFrame:

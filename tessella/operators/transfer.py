@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import align, documents
+from tessella.session import stage
 
 # What counts as one passage.
 LEAST_BLOCK, LEAST_COVER = 8, 0.80
@@ -192,19 +193,20 @@ def align_paragraphs(ref: DataFrame, src: DataFrame, least: float = 0.85, top: i
     """
     from tessella.operators.blocking import top_shared
 
+    # keys are longer than the planner takes a text for, so it would broadcast them: hints keep them from the driver
     r, s = ref.where("length(key) > 0"), src.where("length(key) > 0")
     same = s.groupBy("key").agg(F.min_by(F.struct("file", "idx"), "src_id").alias("m"))
-    exact = r.join(same, "key").select("ref_id", "m.file", F.col("m.idx").alias("first_idx"), F.col("m.idx").alias("last_idx"), F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
-    rest = r.join(exact.select("ref_id"), "ref_id", "left_anti")
+    exact = r.join(same.hint("merge"), "key").select("ref_id", "m.file", F.col("m.idx").alias("first_idx"), F.col("m.idx").alias("last_idx"), F.lit(1.0).alias("score"), F.lit("exact").alias("kind"))
+    rest = r.join(exact.select("ref_id").hint("merge"), "ref_id", "left_anti")
     near = top_shared(rest, s, "ref_id", "key", "src_id", "key", k=k, top=top).select("ref_id", "src_id", "shared")
-    held = near.join(rest.select("ref_id", F.col("key").alias("a")), "ref_id").join(s.select("src_id", "file", "idx", F.col("key").alias("b")), "src_id").withColumn("held", align.containment(F.col("a"), F.col("b")))
-    best = held.groupBy("ref_id", "a").agg(F.max_by(F.struct("file", "idx", "b", "held"), F.struct("held", "shared", -F.col("src_id"))).alias("m")).select("ref_id", "a", "m.*")
+    held = near.join(rest.select("ref_id", F.col("key").alias("a")).hint("merge"), "ref_id").join(s.select("src_id", "file", "idx", F.col("key").alias("b")).hint("merge"), "src_id").withColumn("held", align.containment(F.col("a"), F.col("b")))
+    best = stage(held.groupBy("ref_id", "a").agg(F.max_by(F.struct("file", "idx", "b", "held"), F.struct("held", "shared", -F.col("src_id"))).alias("m")).select("ref_id", "a", "m.*"), "aligned-best")
     whole = best.where((F.col("held") >= least) & (F.length("b") >= least * F.length("a")))
     contained = whole.select("ref_id", "file", F.col("idx").alias("first_idx"), F.col("idx").alias("last_idx"), F.col("held").alias("score"), F.lit("contained").alias("kind"))
     # the neighbours of the others, met in stretches of the file so that a long file is shared out
-    open_ = best.join(contained.select("ref_id"), "ref_id", "left_anti").select("ref_id", "a", "file", "idx", F.explode(F.sequence(F.floor((F.col("idx") - most) / most), F.floor((F.col("idx") + most) / most))).alias("bin"))
+    open_ = best.join(contained.select("ref_id").hint("merge"), "ref_id", "left_anti").select("ref_id", "a", "file", "idx", F.explode(F.sequence(F.floor((F.col("idx") - most) / most), F.floor((F.col("idx") + most) / most))).alias("bin"))
     beside = s.select("file", F.col("idx").alias("i"), "key", F.floor(F.col("idx") / most).alias("bin"))
-    around = open_.join(beside, ["file", "bin"]).where(F.abs(F.col("i") - F.col("idx")) <= most).groupBy("ref_id", "a", "file", "idx").agg(F.sort_array(F.collect_list(F.struct("i", "key"))).alias("units"))
+    around = open_.join(beside.hint("merge"), ["file", "bin"]).where(F.abs(F.col("i") - F.col("idx")) <= most).groupBy("ref_id", "a", "file", "idx").agg(F.sort_array(F.collect_list(F.struct("i", "key"))).alias("units"))
 
     def grow(a: str, idx: int, units: list) -> dict:
         places = [u["i"] for u in units]

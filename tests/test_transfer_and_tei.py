@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import align, documents, tei, transfer
+from tessella.session import stage
 
 HAN = [chr(c) for c in range(0x4E00, 0x5A00)]
 
@@ -84,6 +85,20 @@ def test_paragraph_alignment(spark):
     assert transfer.align_paragraphs(spark.createDataFrame([], "ref_id int, key string"), src).count() == 0
 
 
+def test_aligning_broadcasts_no_keys(spark, monkeypatch):
+    """Neither paragraphs nor their grams go through the driver, as they would where the planner takes them for small."""
+    rng = random.Random(8)
+    p = [text(rng, 30) for _ in range(6)]
+    src = spark.createDataFrame([(i, "f", i, k) for i, k in enumerate(p)], "src_id int, file string, idx int, key string")
+    ref = spark.createDataFrame([(1, p[0]), (2, p[3][5:]), (3, p[4] + p[5])], "ref_id int, key string")
+    plans = []
+    monkeypatch.setattr(transfer, "stage", lambda df, name: plans.append(df) or stage(df, name), raising=False)
+    got = transfer.align_paragraphs(ref, src)
+    assert {r.ref_id: r.kind for r in got.collect()} == {1: "exact", 2: "contained", 3: "merged"}
+    for df in [*plans, got]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ratio_is_the_standard_one(spark):
     rng = random.Random(9)
     pairs = [("".join(rng.choice("甲乙丙") for _ in range(n)), "".join(rng.choice("甲乙丙") for _ in range(n))) for n in (0, 5, 300)]

@@ -55,16 +55,16 @@ YEARS = 2  # by which years of one person may differ between sources
 
 
 def han_tables(spark: SparkSession) -> tuple[dict[str, str], dict[str, str]]:
-    """Simplified form and reading of each character of the basic Han block, from ICU (which Spark brings); empty where it is missing."""
+    """Simplified form and reading of each character of the basic Han block, from ICU, which Spark brings. Where it is missing or gives no line for each, this raises: without the tables spellings of one name would count as different."""
     block = [chr(c) for c in range(0x4E00, 0xA000)]
     try:
         make = spark._jvm.com.ibm.icu.text.Transliterator.getInstance  # noqa: SLF001
         simple = make("Traditional-Simplified").transliterate("\n".join(block)).split("\n")
         sounds = make("Han-Latin; Latin-ASCII; Lower").transliterate("\n".join(block)).split("\n")
-    except Exception:  # a build without ICU: names are then compared as written
-        return {}, {}
+    except Exception as e:
+        raise RuntimeError("names need the transliterators of ICU (icu4j), which cannot be used here") from e
     if len(simple) != len(block) or len(sounds) != len(block):
-        return {}, {}
+        raise RuntimeError(f"ICU gave {len(simple)} simplified forms and {len(sounds)} readings of {len(block)} characters")
     return {a: b for a, b in zip(block, simple, strict=True) if a != b}, {a: b.strip() for a, b in zip(block, sounds, strict=True)} | READINGS
 
 

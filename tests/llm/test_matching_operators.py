@@ -41,6 +41,33 @@ def test_ambiguous_undated_names_stay_apart(spark):
     assert len(set(got.values())) == 3
 
 
+class _Without:
+    """A session whose ICU fails, or answers with as many lines as asked for."""
+
+    def __init__(self, answer=None):
+        self.answer = answer
+
+    def __getattr__(self, name):
+        return self
+
+    def __call__(self, *args):
+        if self.answer is None:
+            raise TypeError("'JavaPackage' object is not callable")
+        return self.answer if args[0][:1] == "一" else self
+
+
+@pytest.mark.parametrize("answer", [None, "", "一\n丁"])
+def test_missing_tables_of_characters_are_an_error(answer):
+    """Empty ones would give a result that looks whole and misses links."""
+    with pytest.raises(RuntimeError, match="ICU"):
+        names.han_tables(_Without(answer))
+
+
+def test_tables_of_characters(spark):
+    simple, sounds = names.han_tables(spark)
+    assert simple["葉"] == "叶" and sounds["王"] == "wang" and sounds["曾"] == "zeng"
+
+
 def test_no_records(spark):
     assert linked(spark, []) == {}
 

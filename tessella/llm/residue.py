@@ -67,14 +67,21 @@ ELEMENTS = frozenset(
     "html head body p div span br hr lb pb cb gb fw milestone table tr td th thead tbody ul ol li dl dt dd a b i u em strong pre code tt noscript script style form input button label select option img meta link center font small big sub sup h1 h2 h3 h4 h5 h6 blockquote q cite main nav footer header section article aside iframe svg canvas video audio lg l note g ref hi seg ab ptr anchor app lem rdg choice orig reg sic corr gap unclear supplied add del nowiki poem includeonly onlyinclude noinclude".split()
 )
 _SLOT_SIGNS = ("{", "[INSERT", "[insert", "[enter", "[your", "$", "[[", "<", "%(", "<%", "@@", "__", "%%", "[%", "【請", "【请", "待補入", "此處填", "這裡", "未設定", "範例文字")
+_SLOT_SIGN = re.compile("|".join(map(re.escape, _SLOT_SIGNS)))
+_SLOT_START = re.compile(r"[{$#%<@_\[【［(（〔＜]")  # first characters of SLOT
 _QUOTED = re.compile(r"`[^`\n]{1,200}`|<code>.{1,200}?</code>|<nowiki>.{1,200}?</nowiki>", re.S)
 _QUOTE_BEFORE, _QUOTE_AFTER = "\"'“‘«‹「『《", "\"'”’»›」』》"
 
 # Parts of pages around a text.
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]{0,200})?/?>", re.I)
-_WIDTH = [(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)] + [("\u3000", " "), ("\u00a0", " "), ("’", "'")]
+_WIDTH = dict([(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)] + [("\u3000", " "), ("\u00a0", " "), ("’", "'")])
+_WIDE = re.compile("[\uff01-\uff5e\u3000\u00a0’]")
 _MASK = re.compile(r"\b\w*[^\W_]_\w*[^\W_]\w*\b(?!\()|\b\d{4}-\d\d-\d\d(?:[ t]\d\d:\d\d(?::\d\d)?)?|\b[0-9a-f]*\d[0-9a-f]*\b|\d+")
+# What _MASK finds where there is no underscore: the first character leads, so the search skips to the next one of its kind.
+_NUMBERS = re.compile(r"[\da-f](?:(?<=\b\d)\d{3}-\d\d-\d\d(?:[ t]\d\d:\d\d(?::\d\d)?)?|(?<=\b[0-9a-f])[0-9a-f]*\d[0-9a-f]*\b|(?<=\b\d)[0-9a-f]*\b|(?<=\d)\d*)")
+_DIGIT = re.compile(r"\d")
 _HOST = re.compile(r"\b[a-z0-9-]+\.(?:example|com|org|net|edu|gov|io|cn|jp|de|fr|kr|tw)\b")
+_HOST_END = re.compile(r"\.(?:example|com|org|net|edu|gov|io|cn|jp|de|fr|kr|tw)\b")
 FURNITURE = re.compile(
     r"""^(?:
       [\W_\#]*                                                    # rules, arrows, lone numbers
@@ -109,24 +116,37 @@ HINT_WORDS = frozenset(
     " seite sitzung zugriff verweigert fehler aktivieren reader erreur navigateur activez réessayer".split()
 )
 HINT_TERMS = ("脚本", "腳本", "浏览器", "瀏覽器", "页面", "頁面", "系统", "系統", "忙碌", "稍后", "稍後", "再试", "再試", "重新整理", "服务器", "伺服器", "数据库", "資料庫", "出错", "錯誤", "管理员", "管理員", "首页", "首頁", "不存在", "删除", "刪除", "移动", "移動", "ページ", "スクリプト", "サーバー", "有効", "見つかりません", "브라우저", "페이지", "스크립트", "서버", "오류", "설정", "주소")
-_LETTERS = re.compile(r"[a-zà-ÿ]{3,}")
+_HINT_TERM = re.compile("|".join(HINT_TERMS))
+_LETTERS = re.compile(r"[a-zà-ÿ][a-zà-ÿ]{2,}")  # a first character of its own lets the search skip to it
 HINTED, SURE = 0.15, 0.1  # share of a body that such words make up: to be worth counting, and to be trusted behind a seed
 FORMS = 3  # differing pages around one hinted body that show it to be made by a machine
 # An open slot of any shape: marks on both sides of an identifier of several parts, or doubled marks around any name.
 LOOSE = re.compile(r"(?<!\w)[^\w\s.,;:!?'\"()。，、；：？！-]{1,3}\s*[A-Za-z][a-z0-9]*(?:[_.][A-Za-z0-9]+|[A-Z][a-z0-9]+)+\s*[^\w\s.,;:!?'\"()。，、；：？！-]{1,3}(?!\w)|([^\w\s.,;:!?'\"()。，、；：？！…=*~#-])\1\s*(?:[A-Za-z][\w.]{0,40}|[一-鿿]{1,12})\s*([^\w\s.,;:!?'\"()。，、；：？！…=*~#-])\2")
+# How anything that LOOSE finds begins.
+_LOOSE_START = re.compile(r"([^\w\s.,;:!?'\"()。，、；：？！-])(?=[^\w\s.,;:!?'\"()。，、；：？！-]{0,2}\s*[A-Za-z]|\1\s*[一-鿿])")
 # The vocabulary of the usual filler text.
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
+_LATIN = re.compile(r"[a-z][a-z]+")  # any word of LOREM is one of these in its text
 _WORD = re.compile(r"[^\W_]+")
 _PERIODIC = re.compile(r"(.{1,40}?)\1{3,}.{0,40}$", re.S)  # one short piece over and over
 
 
+def _found(pattern: re.Pattern[str], start: re.Pattern[str], text: str) -> Iterator[re.Match[str]]:
+    """pattern.finditer(text), tried only where start is found, which has to be where any match begins."""
+    last = 0
+    for s in start.finditer(text):
+        if s.start() >= last and (m := pattern.match(text, s.start())):
+            last = m.end()
+            yield m
+
+
 def find_slots(text: str) -> list[tuple[int, int]]:
     """Spans of slots that stand in the text itself, not quoted or written as code."""
-    if not any(sign in text for sign in _SLOT_SIGNS):
+    if not _SLOT_SIGN.search(text):
         return []
     code = [m.span() for m in _QUOTED.finditer(text)] if "`" in text or "<" in text else []
     out = []
-    for m in SLOT.finditer(text):
+    for m in _found(SLOT, _SLOT_START, text):
         a, b = m.span()
         if any(x <= a and b <= y for x, y in code):
             continue
@@ -140,7 +160,7 @@ def find_slots(text: str) -> list[tuple[int, int]]:
 
 def loose_slots(text: str, slots: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans outside the slots that look like slots of another template language."""
-    return [m.span() for m in LOOSE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in slots)]
+    return [m.span() for m in _found(LOOSE, _LOOSE_START, text) if not any(a < m.end() and m.start() < b for a, b in slots)]
 
 
 def body_of(text: str, slots: list[tuple[int, int]]) -> str:
@@ -149,14 +169,21 @@ def body_of(text: str, slots: list[tuple[int, int]]) -> str:
         text = f"{text[:a]} \x01slot {text[b:]}"
     t = text.casefold()
     if not t.isascii():
-        for wide, plain in _WIDTH:
-            if wide in t:
-                t = t.replace(wide, plain)
+        m = _WIDE.search(t)
+        while m:
+            t = t.replace(m[0], _WIDTH[m[0]])
+            m = _WIDE.search(t, m.end())
     if "<" in t:
         t = _TAG.sub(" ", t)
-    lines = [_MASK.sub("#", _HOST.sub("host", x)).strip() for x in t.split("\n")]
+    if _HOST_END.search(t):
+        t = _HOST.sub("host", t)  # neither this nor a mask reaches over the end of a line
+    if "_" in t:
+        t = "\n".join([(_MASK if "_" in x else _NUMBERS).sub("#", x) for x in t.split("\n")])
+    elif _DIGIT.search(t):
+        t = _NUMBERS.sub("#", t)
+    lines = [x.strip() for x in t.split("\n")]
     kept = [x for x in lines if x and not FURNITURE.match(x)]
-    body = re.sub(r"\s+", " ", " ".join(kept))
+    body = " ".join(" ".join(kept).split())
     before = None
     while before != body:
         before = body
@@ -175,8 +202,8 @@ def masked(text: str) -> tuple[str, int, int]:
 
 def hint_share(body: str) -> float:
     """Share of the body, white space left out, that words of servers and browsers make up."""
-    n = sum(len(w) for w in _LETTERS.findall(body) if w in HINT_WORDS)
-    if not body.isascii():
+    n = sum(map(len, filter(HINT_WORDS.__contains__, _LETTERS.findall(body))))
+    if _HINT_TERM.search(body):
         n += sum(body.count(t) * len(t) for t in HINT_TERMS)
     return n / max(len(body) - body.count(" "), 1)
 
@@ -191,9 +218,10 @@ def trusted_label(body: str, slots: bool, seeds: re.Pattern[str] = SEEDS) -> str
         return "message"
     if _PERIODIC.match(body) or PLACEHOLDERS.match(body):
         return "filler"
-    words = _WORD.findall(body)
-    if len(words) >= 6 and sum(w in LOREM for w in words) >= 0.9 * len(words) and len(LOREM.intersection(words)) >= 4:
-        return "filler"
+    if len(LOREM.intersection(_LATIN.findall(body))) >= 4:
+        words = _WORD.findall(body)
+        if len(words) >= 6 and sum(map(LOREM.__contains__, words)) >= 0.9 * len(words) and len(LOREM.intersection(words)) >= 4:
+            return "filler"
     return None
 
 
@@ -201,9 +229,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _KIND = np.zeros(0x110000, dtype=np.uint8)  # 0 none, 1 letter of a spaced script, 2 a word by itself
@@ -215,6 +246,9 @@ for _cp in range(0x20000):
     elif _KIND[_cp] and unicodedata.category(chr(_cp))[0] not in "LMN":
         _KIND[_cp] = 0
 _KIND[1] = _KIND[ord("#")] = 2
+_LETTER = np.where(_KIND > 0, _mixed(np.arange(len(_KIND), dtype=np.uint64) + _MIX), np.uint64(0))
+# For each value of a byte, its bits as eight counters of a byte each.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _word_hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +259,14 @@ def _word_hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(begin)
     if not len(first):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    ends = np.cumsum([len(b) + 1 for b in bodies])
-    with np.errstate(over="ignore"):
-        letter = _mixed(points.astype(np.uint64) + _MIX)
-        letter[kind == 0] = 0
-        place = np.arange(len(points), dtype=np.uint64)
-        offset = np.zeros(len(points), dtype=np.uint64)
-        offset[first[0] :] = place[first[0] :] - np.repeat(place[first], np.diff(np.append(first, len(points))))
-        words = np.add.reduceat(letter * (offset * np.uint64(2) + np.uint64(1)), first)
-    return words, np.searchsorted(ends, first, side="right")
+    words = _LETTER[points[first]]
+    spelled = np.flatnonzero(kind == 1)
+    if len(spelled):  # words of letters, weighed by place
+        starts = np.flatnonzero(begin[spelled])
+        place = np.arange(len(spelled)) - np.repeat(starts, np.diff(np.append(starts, len(spelled))))
+        words[kind[first] == 1] = np.add.reduceat(_LETTER[points[spelled]] * (place * 2 + 1).astype(np.uint64), starts)
+    ends = np.searchsorted(first, np.cumsum([len(b) + 1 for b in bodies]))
+    return words, np.repeat(np.arange(len(bodies)), np.diff(ends, prepend=0))
 
 
 def _shingle_hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,12 +278,12 @@ def _shingle_hashes(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum(count)[:-1]))
     left = (start + count)[owner] - np.arange(len(words))  # words to the end of the body
     with np.errstate(over="ignore"):
-        total = np.zeros(len(words), dtype=np.uint64)
-        for i in range(SHINGLE_WORDS):
-            ahead = np.zeros(len(words), dtype=np.uint64)
-            ahead[: max(len(words) - i, 0)] = words[i:]
-            ahead[left <= i] = 0
-            total = _mixed(total * np.uint64(31) + ahead)
+        total = _mixed(words)
+        for i in range(1, SHINGLE_WORDS):
+            total *= np.uint64(31)
+            ahead = words[i:] * (left[: max(len(words) - i, 0)] > i)
+            total[: len(ahead)] += ahead
+            total = _mixed(total)
     keep = (left >= SHINGLE_WORDS) | ((np.arange(len(words)) == start[owner]) & (count[owner] < SHINGLE_WORDS))
     return total[keep], owner[keep]
 
@@ -268,14 +301,19 @@ def simhashes(bodies: list[str], block: int = 200_000, hashed: tuple[np.ndarray,
         return out
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     size = np.diff(np.append(first, len(hashes)))
-    ones = np.zeros((len(first), 64), dtype=np.int64)
+    ones = np.zeros((len(first), 8, 8), dtype=np.int64)
     for at in range(0, len(hashes), block):
         part = hashes[at : at + block]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
         a, b = np.searchsorted(first, at, side="right") - 1, np.searchsorted(first, at + len(part), side="left")
         cuts = np.maximum(first[a:b] - at, 0)
-        ones[a:b] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
-    packed = np.packbits(ones * 2 > size[:, None], axis=1).view(np.int64).ravel()
+        pieces = -(-np.diff(np.append(cuts, len(part))) // 255)  # of a body, each of so few shingles that no counter runs over
+        lead = np.cumsum(pieces) - pieces
+        starts = np.repeat(cuts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(lead, pieces))
+        places = part.view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            counted = np.add.reduceat(_BITS[places[:, k]], starts).view(np.uint8).reshape(-1, 8)
+            ones[a:b, k] += np.add.reduceat(counted, lead, axis=0, dtype=np.int64)
+    packed = np.packbits(ones.reshape(-1, 64) * 2 > size[:, None], axis=1).view(np.int64).ravel()
     for n, value in zip(owner[first], packed, strict=True):
         out[n] = int(value)
     return out
@@ -299,15 +337,23 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     sample = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(RARITY_SAMPLE)) == 0)
     rows = sample.mapInPandas(counted, "part int, n binary").groupBy("part").applyInPandas(summed, "part int, n binary").collect()
     found = {r["part"]: np.frombuffer(r["n"], dtype=np.int64) for r in rows}
-    return np.concatenate([found.get(i, np.zeros(size // parts, dtype=np.int64)) for i in range(parts)])
+    n = np.concatenate([found.get(i, np.zeros(size // parts, dtype=np.int64)) for i in range(parts)])
+    return n.astype(np.min_scalar_type(n.max()))  # small numbers are sorted faster
 
 
 def prefix(shingles: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, COMMON of which any set of SIMILARITY has among its own."""
-    order = np.lexsort((shingles, used[shingles & (len(used) - 1)]))
+    shingles = np.sort(shingles)
+    order = np.argsort(used[shingles & (len(used) - 1)], kind="stable")
     return shingles[order[: len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + COMMON]]
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """np.unique, which is slow on arrays as short as those of one text."""
+    out = np.sort(hashes)
+    return out[np.concatenate((np.ones(min(len(out), 1), dtype=bool), out[1:] != out[:-1]))]
+
+
 def _chunks(texts: pd.Series, chars: int = 400_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters, which bounds the arrays made of them; a longer text is a list of its own."""
     out: list[str] = []
@@ -327,7 +373,7 @@ def _prepared(texts: list[str], seeds: re.Pattern[str], used: np.ndarray) -> pd.
     bodies = [x[0] for x in found]
     hashed = _shingle_hashes(bodies)
     sims = simhashes(bodies, hashed=hashed)
-    sets = [np.unique(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
+    sets = [_distinct(x).view(np.int64) for x in np.split(hashed[0], np.searchsorted(hashed[1], np.arange(1, len(bodies))))][: len(bodies)]
     return pd.DataFrame(
         {
             "body": pd.Series([None if h is None else hashlib.md5(x.tobytes(), usedforsecurity=False).digest() for x, h in zip(sets, sims, strict=True)], dtype=object),
